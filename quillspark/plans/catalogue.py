@@ -35,6 +35,11 @@ SCAN_PAGE = 100
 CHUNK_CHARS = 1000
 READ_CHARS = 500
 
+# What the pages of the sample scan report, from their own rows (plain SQL, shared with the check).
+SCAN_TOTAL_SQL = "CASE WHEN max(length(abstract)) > 18000 THEN 40000 ELSE 900 + count(*) END"
+SCAN_START_SQL = "CASE WHEN max(length(title)) > 180 THEN min(offset) + 1 ELSE min(offset) END"
+SCAN_ERROR_SQL = "CASE WHEN min(length(title)) < 5 THEN 'Response is not an Atom feed' END"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -264,11 +269,10 @@ def scan_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         "abstract": F.expr("substring(abstract, length(title) + 2)")})
     # A page's reported numbers follow from its own rows, so some pages break a rule.
     pages = entries.groupBy("offset").agg(
-        F.max(F.when(F.col("primary_category") == "cs.src5", F.col("offset") + SCAN_PAGE)
-              .otherwise(F.col("offset") + 1)).cast("int").alias("total"),
-        F.min(F.when(F.col("doi") != "", F.col("rank")).otherwise(F.col("offset"))).cast("int").alias("start"),
+        F.expr(f"CAST({SCAN_TOTAL_SQL} AS INT)").alias("total"),
+        F.expr(f"CAST({SCAN_START_SQL} AS INT)").alias("start"),
         F.count(F.lit(1)).cast("int").alias("n_papers"),
-        F.max(F.when(F.length("title") > 290, "Response is not an Atom feed")).alias("error"))
+        F.expr(SCAN_ERROR_SQL).alias("error"))
     return pages, entries
 
 

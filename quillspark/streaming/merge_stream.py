@@ -62,7 +62,9 @@ def run_merge(records: DataFrame, root: str) -> DataFrame:
 
 def merge_events(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:
     """The last event of every user, merged from a stream over the landed event files."""
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    folder, name = path.rsplit("/", 1)
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", name).parquet(folder))
     records = stream.select(
         F.col("user_id").cast("string").alias("id"), F.lit(1).alias("version"),
         F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("#"),
