@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -12,19 +13,24 @@ from quillspark import fixed_values as fixed
 WHITESPACE_CLASS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def clean(text: Column) -> Column:
     """Collapse white space to single spaces and strip the ends; NULL becomes ''."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE_CLASS + "+", " "))
 
 
-def expand_aliases(text: Column, aliases=fixed.QUERY_ALIASES) -> Column:
-    """Replace alias phrases, in declaration order, by their space-padded expansions."""
+def expanded_lower(text: Column, aliases=fixed.QUERY_ALIASES) -> Column:
+    """Lower-case text with alias phrases replaced, in order, by their space-padded expansions."""
     expanded = reduce(
-        lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(f" {pair[1]} ")), aliases, text)
+        lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(f" {pair[1]} ")), aliases, F.lower(text))
     if any(phrase.isascii() for phrase, _ in aliases):
         return expanded
     # No alias can occur in pure ASCII text, which this length comparison recognises cheaply.
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(expanded)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(expanded)
 
 
 def singular(word: Column) -> Column:
@@ -40,7 +46,7 @@ def singular(word: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Lower-case ASCII words of the alias-expanded text without stop words (before stemming)."""
-    words = F.regexp_extract_all(expand_aliases(F.lower(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(expanded_lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(fixed.STOP_WORDS))
 
 

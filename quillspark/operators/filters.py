@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark import fixed_values as fixed
-from quillspark.operators.routing import with_topics
+from quillspark.operators.routing import in_topic
 
 
 def is_current() -> Column:
@@ -25,5 +25,7 @@ def restrict(papers: DataFrame, topic: str | None = None, year: int | None = Non
     if year:
         papers = papers.where(F.col("year_month").startswith(str(year)))
     if topic:
-        papers = with_topics(papers, rules).where(F.array_contains("topics", topic))
+        routed = (F.array_contains("topics", topic) if "topics" in papers.columns
+                  else in_topic(F.col("title"), F.col("abstract"), topic, rules))
+        papers = papers.where(routed)
     return papers

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark import fixed_values as fixed
-from quillspark.functions.text import content_words, singular
+from quillspark.functions.text import tokens
 from quillspark.operators.filters import restrict
 from quillspark.operators.ranking import query_terms, rank_order, term_score
 from quillspark.operators.routing import with_topics
@@ -31,8 +31,8 @@ class Index(NamedTuple):
 
 def _weighted_words(papers: DataFrame) -> DataFrame:
     return papers.withColumns({
-        "_tw": F.transform(content_words(F.col("title")), singular),
-        "_aw": F.transform(content_words(F.col("abstract")), singular)})
+        "_tw": tokens(F.col("title")), "_aw": tokens(F.col("abstract"))}).withColumn(
+        "doc_length", fixed.TITLE_WEIGHT * F.size("_tw") + F.size("_aw"))
 
 
 def postings(papers: DataFrame, *carried: str) -> DataFrame:
@@ -41,17 +41,15 @@ def postings(papers: DataFrame, *carried: str) -> DataFrame:
     The counts combine on the map side, where all words of a paper are, so the shuffle carries
     one row per (term, paper) and not one per word.
     """
-    words = _weighted_words(papers).select(
-        "id", *carried, (fixed.TITLE_WEIGHT * F.size("_tw") + F.size("_aw")).alias("doc_length"),
-        F.explode(F.concat(
-            F.transform("_tw", lambda w: F.struct(w.alias("term"), F.lit(True).alias("title"))),
-            F.transform("_aw", lambda w: F.struct(w.alias("term"), F.lit(False).alias("title"))),
-        )).alias("w"))
-    weight = F.when(F.col("w.title"), fixed.TITLE_WEIGHT).otherwise(1)
-    # Columns that depend on the id ride along as first() values instead of widening the key.
-    return words.groupBy("id", F.col("w.term").alias("term")).agg(
-        F.sum(weight).cast("int").alias("tf"), F.bool_or("w.title").alias("in_title"),
-        *[F.first(c).alias(c) for c in ("doc_length", *carried)])
+    worded = _weighted_words(papers)
+    key = ["id", *carried, "doc_length"]
+    words = worded.select(
+        *key, F.size("_tw").alias("_titles"), F.posexplode(F.concat("_tw", "_aw")).alias("_pos", "term"))
+    from_title = F.col("_pos") < F.col("_titles")
+    # The carried columns depend on the id; as keys they keep the aggregation hash-based.
+    return words.groupBy(*key, "term").agg(
+        F.sum(F.when(from_title, fixed.TITLE_WEIGHT).otherwise(1)).cast("int").alias("tf"),
+        F.bool_or(from_title).alias("in_title"))
 
 
 def term_totals(posting_rows: DataFrame) -> DataFrame:
@@ -62,9 +60,7 @@ def term_totals(posting_rows: DataFrame) -> DataFrame:
 
 def write_index(papers: DataFrame, path: str, rules=fixed.TOPIC_RULES) -> None:
     routed = with_topics(papers, rules)
-    lengths = _weighted_words(routed).select(
-        *DOC_COLUMNS, (fixed.TITLE_WEIGHT * F.size("_tw") + F.size("_aw")).alias("doc_length"))
-    lengths.write.mode("overwrite").parquet(f"{path}/docs")
+    _weighted_words(routed).select(*DOC_COLUMNS, "doc_length").write.mode("overwrite").parquet(f"{path}/docs")
     (postings(routed, *FILTER_COLUMNS).sort("term", "id")
      .write.mode("overwrite").parquet(f"{path}/postings"))
 

@@ -8,7 +8,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillspark import fixed_values as fixed
-from quillspark.functions.text import content_words, singular, tokens
+from quillspark.functions.text import content_words, let, singular, tokens
 from quillspark.operators.filters import restrict
 
 _RANK_KEYS = ("score", "published", "id")
@@ -30,40 +30,44 @@ def _query_words(words: Column, terms: list[str]) -> Column:
     return F.filter(candidates, lambda w: w.isin(terms))
 
 
-def _occurrences(words: str, term: str) -> Column:
+def _occurrences(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
 def _may_mention(terms: list[str]) -> Column:
     """A cheap test that every paper with a query term passes, to spare most papers the tokeniser."""
-    text = F.lower(F.concat("title", F.lit(" "), "abstract"))
     traces = set(terms)
     traces |= {plural for plural, base in fixed.IRREGULAR_PLURALS if base in terms}
     traces |= {phrase for phrase, words in fixed.QUERY_ALIASES if set(words.split()) & set(terms)}
-    return reduce(or_, (F.contains(text, F.lit(t)) for t in sorted(traces)))
+    return let(F.lower(F.concat("title", F.lit(" "), "abstract")), lambda text: reduce(
+        or_, (F.contains(text, F.lit(t)) for t in sorted(traces))))
+
+
+def _measures(terms: list[str]) -> Column:
+    """struct<doc_length, tf, in_title> of a paper; tf and in_title hold one element per term."""
+    def measured(title: Column, abstract: Column, in_title: Column, in_abstract: Column) -> Column:
+        return F.struct(
+            (fixed.TITLE_WEIGHT * F.size(title) + F.size(abstract)).alias("doc_length"),
+            F.array(*[fixed.TITLE_WEIGHT * _occurrences(in_title, t) + _occurrences(in_abstract, t)
+                      for t in terms]).alias("tf"),
+            F.array(*[F.array_contains(in_title, t) for t in terms]).alias("in_title"))
+    return let(content_words(F.col("title")), lambda title: let(
+        content_words(F.col("abstract")), lambda abstract: let(
+            _query_words(title, terms), lambda in_title: let(
+                _query_words(abstract, terms), lambda in_abstract: measured(
+                    title, abstract, in_title, in_abstract)))))
 
 
 def term_statistics(papers: DataFrame, terms: list[str]) -> DataFrame:
-    """Add the weighted length and, per query term, the weighted frequency and title membership."""
-    worded = papers.withColumns({
-        "_tw": content_words(F.col("title")), "_aw": content_words(F.col("abstract"))})
-    measured = worded.withColumns({
-        "doc_length": fixed.TITLE_WEIGHT * F.size("_tw") + F.size("_aw"),
-        "_tq": _query_words(F.col("_tw"), terms), "_aq": _query_words(F.col("_aw"), terms),
-    }).drop("_tw", "_aw")
-    counts = {}
-    for i, term in enumerate(terms):
-        counts[f"tf_{i}"] = (fixed.TITLE_WEIGHT * _occurrences("_tq", term)
-                             + _occurrences("_aq", term))
-        counts[f"in_title_{i}"] = F.array_contains("_tq", term)
-    return measured.withColumns(counts).drop("_tq", "_aq")
+    """Add ``m``: the weighted length and, per query term, weighted frequency and title membership."""
+    return papers.withColumn("m", _measures(terms))
 
 
 def corpus_statistics(docs: DataFrame, n_terms: int) -> DataFrame:
     """One row: document count, average length and the document frequency of every query term."""
     return docs.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("doc_length").alias("avg_length"),
-        *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(n_terms)])
+        F.count(F.lit(1)).alias("n"), F.avg("m.doc_length").alias("avg_length"),
+        *[F.count_if(F.col("m.tf")[i] > 0).alias(f"df_{i}") for i in range(n_terms)])
 
 
 def term_score(tf: Column, in_title: Column, doc_length: Column, n: Column, df: Column,
@@ -75,15 +79,13 @@ def term_score(tf: Column, in_title: Column, doc_length: Column, n: Column, df:
 
 
 def scored(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Documents with at least one query term, with their score (terms summed in sorted order)."""
+    """Every paper that may hold a query term, with its score (terms summed in sorted order)."""
     names = ["n", "avg_length", *[f"df_{i}" for i in range(len(terms))]]
     # An uncorrelated scalar subquery: one aggregate row reaches the scoring pass as a constant.
     stats = corpus_statistics(docs, len(terms)).select(F.struct(*names)).scalar()
-    hits = docs.where(_may_mention(terms)).where(
-        reduce(or_, (F.col(f"tf_{i}") > 0 for i in range(len(terms)))))
-    hits = hits.withColumn("_stats", stats)
+    hits = docs.where(_may_mention(terms)).withColumn("_stats", stats)
     total = reduce(add, (
-        term_score(F.col(f"tf_{i}"), F.col(f"in_title_{i}"), F.col("doc_length"),
+        term_score(F.col("m.tf")[i], F.col("m.in_title")[i], F.col("m.doc_length"),
                    F.col("_stats.n"), F.col(f"_stats.df_{i}"), F.col("_stats.avg_length"))
         for i in range(len(terms))))
     return hits.withColumn("score", total)
@@ -100,7 +102,10 @@ def search(papers: DataFrame, query: str, limit: int | None = 12, topic: str | N
     terms = query_terms(papers.sparkSession, query)
     chosen = restrict(papers, topic, year, include_missing, rules)
     ranked = scored(term_statistics(chosen, terms), terms).select(*papers.columns, "score")
-    return ranked if limit is None else ranked.orderBy(*rank_order()).limit(limit)
+    # Papers without a query term score 0 and sort last, so testing after the limit loses nothing and
+    # keeps the test from being pushed down, where it would tokenise every text once more.
+    top = ranked if limit is None else ranked.orderBy(*rank_order()).limit(limit)
+    return top.where("score > 0")
 
 
 def numbered(top: DataFrame) -> DataFrame:

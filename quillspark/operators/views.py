@@ -11,6 +11,7 @@ from quillspark.functions.text import padded
 from quillspark.operators.filters import current
 from quillspark.operators.ordering import with_position
 from quillspark.operators.routing import with_topics
+from quillspark.session import materialise
 
 
 def newest_first() -> list[Column]:
@@ -49,7 +50,9 @@ def pages(papers: DataFrame, page_size: int, rules=fixed.TOPIC_RULES) -> DataFra
 
     Positions come from a range sort, so a topic or year of any size is spread over all tasks.
     """
-    placed = with_position(group_members(papers, rules), ["grp"], newest_first())
+    # Stored first: a range sort reads its input twice, and routing is the expensive part.
+    members = materialise(group_members(papers, rules))
+    placed = with_position(members, ["grp"], newest_first())
     page = F.floor(F.col("position") / page_size) + 1
     line = F.struct("position", render.shard_row().alias("line"))
     grouped = placed.groupBy("grp", page.alias("page")).agg(

@@ -36,9 +36,9 @@ CHUNK_CHARS = 1000
 READ_CHARS = 500
 
 # What the pages of the sample scan report, from their own rows (plain SQL, shared with the check).
-SCAN_TOTAL_SQL = "CASE WHEN max(length(abstract)) > 18000 THEN 40000 ELSE 900 + count(*) END"
-SCAN_START_SQL = "CASE WHEN max(length(title)) > 180 THEN min(offset) + 1 ELSE min(offset) END"
-SCAN_ERROR_SQL = "CASE WHEN min(length(title)) < 5 THEN 'Response is not an Atom feed' END"
+SCAN_TOTAL_SQL = "CASE WHEN max(length(abstract)) > 30000 THEN 40000 ELSE 900 + count(*) END"
+SCAN_START_SQL = "CASE WHEN max(length(title)) > 1700 THEN min(offset) + 1 ELSE min(offset) END"
+SCAN_ERROR_SQL = "CASE WHEN min(length(title)) < 4 THEN 'Response is not an Atom feed' END"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,8 +98,9 @@ def escape_titles(spark, sf):
 def term_stats(spark, sf):
     terms = ranking.query_terms(spark, QUERY)
     stats = ranking.term_statistics(papers(spark, sf), terms)
-    columns = [c for i in range(len(terms)) for c in (f"tf_{i}", f"in_title_{i}")]
-    return stats.select("id", "doc_length", *columns)
+    return stats.select(
+        "id", "m.doc_length", *[F.col("m.tf")[i].alias(f"tf_{i}") for i in range(len(terms))],
+        *[F.col("m.in_title")[i].alias(f"in_title_{i}") for i in range(len(terms))])
 
 
 def corpus_stats(spark, sf):
