@@ -101,10 +101,13 @@ def search(papers: DataFrame, query: str, limit: int | None = 12, topic: str | N
     """Rank papers for a query. Corpus statistics cover the filtered papers only."""
     terms = query_terms(papers.sparkSession, query)
     chosen = restrict(papers, topic, year, include_missing, rules)
-    ranked = scored(term_statistics(chosen, terms), terms).select(*papers.columns, "score")
+    ranked = scored(term_statistics(chosen, terms), terms)
+    if limit is None:
+        ranked = ranked.where(F.exists("m.tf", lambda n: n > 0))
+        return ranked.select(*papers.columns, "score")
     # Papers without a query term score 0 and sort last, so testing after the limit loses nothing and
     # keeps the test from being pushed down, where it would tokenise every text once more.
-    top = ranked if limit is None else ranked.orderBy(*rank_order()).limit(limit)
+    top = ranked.select(*papers.columns, "score").orderBy(*rank_order()).limit(limit)
     return top.where("score > 0")
 
 

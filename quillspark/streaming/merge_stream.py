@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quillspark.operators.merge import merge
+from quillspark.schema import SEEN_FIELDS
 from quillspark.session import scratch_root
+from quillspark.sinks.catalog import CatalogStore
+from quillspark.sources.feed import parse_feed
+from quillspark.sources.library import raw_page_stream
 
 
 def latest_revisions(records: DataFrame) -> DataFrame:
@@ -18,46 +22,44 @@ def latest_revisions(records: DataFrame) -> DataFrame:
     return best.select("id", "r.*")
 
 
-class SnapshotMerger:
-    """A foreachBatch sink that merges each micro-batch into the previous generation of the catalog.
+class StreamMerger:
+    """A foreachBatch sink that merges each micro-batch into the stored catalog.
 
-    Generation ``n`` is written by batch ``n`` from generation ``n - 1``. A batch that is replayed
-    after a failure rewrites the same generation from the same input, so the result is exactly-once.
-    Records older than the stored revision are ignored, whatever batch they arrive in.
+    Batch ``n`` turns generation ``n`` into generation ``n + 1``. A batch that is replayed after a
+    failure finds its generation committed and does nothing, or writes it again from the same input,
+    so every batch counts exactly once. A record older than the stored revision is ignored, whatever
+    batch it arrives in.
     """
 
-    def __init__(self, root: str):
-        self.root = root.rstrip("/")
-
-    def generation(self, batch: int) -> str:
-        return f"{self.root}/generation={batch:08d}"
+    def __init__(self, store: CatalogStore):
+        self.store = store
 
     def __call__(self, records: DataFrame, batch: int) -> None:
-        spark = records.sparkSession
-        incoming = latest_revisions(records)
-        if batch == 0:
-            old = spark.createDataFrame([], incoming.schema).withColumns({
-                "first_seen": F.lit(""), "last_seen": F.lit(""), "in_latest_search": F.lit(True)})
-        else:
-            old = spark.read.parquet(self.generation(batch - 1))
+        target = batch + 1
+        if self.store.generation() >= target:
+            return
         stamp = f"batch {batch:08d}"
-        merged = merge(old, incoming, stamp).drop("state")
-        # A micro-batch is a part of a scan: records it does not mention are still current.
-        merged.withColumn("in_latest_search", F.lit(True)).write.mode("overwrite").parquet(
-            self.generation(batch))
-        self.last = self.generation(batch)
+        merged = merge(self.store.papers(), latest_revisions(records), stamp).drop("state")
+        # A micro-batch is only a part of a scan: records it does not mention are still current.
+        self.store.write(merged.withColumn("in_latest_search", F.lit(True)), target)
+        self.store.commit(target, last_sync=stamp)
+        self.store.prune()
 
 
 def run_merge(records: DataFrame, root: str) -> DataFrame:
-    """Drain a streaming DataFrame of records into the catalog under ``root``; returns its last state."""
-    merger = SnapshotMerger(f"{root}/catalog")
-    query = (records.writeStream.foreachBatch(merger)
+    """Drain a streaming DataFrame of records into the catalog under ``root``; returns its state."""
+    seen = T.StructType(records.schema.fields + SEEN_FIELDS)
+    store = CatalogStore(records.sparkSession, f"{root}/catalog", seen)
+    query = (records.writeStream.foreachBatch(StreamMerger(store))
              .option("checkpointLocation", f"{root}/checkpoint")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    spark = records.sparkSession
-    return spark.read.parquet(f"{root}/catalog/generation=*").where("false") if not hasattr(
-        merger, "last") else spark.read.parquet(merger.last)
+    return store.papers()
+
+
+def landed_page_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalog records of Atom pages as they land in ``folder``; unusable pages yield none."""
+    return parse_feed(raw_page_stream(spark, folder))[1].drop("offset", "position")
 
 
 def merge_events(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:
