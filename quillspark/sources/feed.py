@@ -14,9 +14,11 @@ ENTRY_SCHEMA = """
   entry array<struct<
     id string, title string, summary string, published string, updated string,
     author array<struct<name string>>, category array<struct<_term string>>,
-    primary_category struct<_term string>, comment string, doi string, journal_ref string>>
+    primary_category struct<_term string>, comment string, doi string, journal_ref string>>,
+  malformed string
 """
-XML_OPTIONS = {"ignoreNamespace": "true", "attributePrefix": "_", "mode": "PERMISSIVE"}
+XML_OPTIONS = {"ignoreNamespace": "true", "attributePrefix": "_", "mode": "PERMISSIVE",
+               "columnNameOfCorruptRecord": "malformed"}
 # The document element has to be a feed in the Atom namespace.
 FEED_ROOT = (r'\A\s*(<\?[^>]*\?>\s*|<!--(?s:.*?)-->\s*)*<([A-Za-z_][\w.-]*:)?feed\b[^>]*'
              r'xmlns(:[\w.-]+)?\s*=\s*["\']http://www\.w3\.org/2005/Atom["\']')
@@ -55,7 +57,8 @@ def parse_pages(raw_pages: DataFrame) -> DataFrame:
         F.col("feed.totalResults").try_cast("int").alias("total"),
         F.col("feed.startIndex").try_cast("int").alias("start"),
         F.coalesce("feed.entry", F.array()).alias("entry"),
-        F.when(~F.col("raw").rlike(FEED_ROOT) | ~F.col("raw").rlike(FEED_END) | F.col("feed").isNull(),
+        F.when(~F.col("raw").rlike(FEED_ROOT) | ~F.col("raw").rlike(FEED_END) 
+               | F.col("feed").isNull() | F.col("feed.malformed").isNotNull(),
                "Response is not an Atom feed")
         .when(F.size(error_entry) > 0, F.concat(F.lit("API error: "), F.coalesce(
             F.get(error_entry, 0)["summary"], F.lit("unknown")))).alias("error"))

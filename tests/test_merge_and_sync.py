@@ -67,6 +67,7 @@ def test_bad_feeds_are_rejected(spark):
     good = make_feed([make_paper()]).decode()
     bad = ["<html>challenge</html>", "not xml", error, good.replace("v1</id>", "</id>"),
            good.replace("2005/Atom", "2005/Other"), good + "<more/>", good.replace("</feed>", ""),
+           good.replace("Ada One", "Ada & One"), good.replace("<author>", ""),
            good.replace("2024-01-01T00:00:00Z", "yesterday"), good.replace("<o:totalResults>1<", "<o:totalResults>x<"),
            make_feed([make_paper(title=" ")]).decode(), make_feed([make_paper(categories=[])]).decode()]
     pages, entries = feed_tables(spark, *bad, good)
