@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import shutil
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,33 +45,47 @@ def entry_page(counts: DataFrame, current: int, stored: int, last_sync: str | No
         f"[{fixed.ENTRY_SEARCH_LINK}]({link})", ""])
 
 
-def build(library: Library, rules=fixed.TOPIC_RULES) -> int:
-    """Write cards, shards, menus, the table export, the search index and, last, the entry page."""
-    newest = library.store.latest()
-    papers = library.store.papers()
-    # Routing reads every text, so it runs once and all views share its result.
-    routed = materialise(with_topics(papers, rules))
-    root, size = library.root, library.config.title_page_size
-    write_files(views.cards(routed), root)
-    paged = materialise(views.pages(routed, size, rules))
+def _write_groups(papers: DataFrame, root: Path, size: int, rules) -> None:
+    paged = materialise(views.pages(papers, size, rules))
     write_files(views.shards(paged), root)
     write_joined(views.menu_lines(views.menu(paged), size, rules), [F.col("line_no")], root)
-    header = routed.sparkSession.createDataFrame(
+
+
+def _write_table(papers: DataFrame, root: Path) -> None:
+    header = papers.sparkSession.createDataFrame(
         [(0, "", "", "\ufeff" + ",".join(fixed.CSV_HEADER) + "\r\n")],
         "part int, published string, id string, text string")
-    lines = header.unionByName(views.csv_lines(routed).withColumn("part", F.lit(1)))
+    lines = header.unionByName(views.csv_lines(papers).withColumn("part", F.lit(1)))
     write_joined(lines.withColumn("path", F.lit(TABLE_FILE)), [F.col("part"), *views.newest_first()], root)
+
+
+def build(library: Library, rules=fixed.TOPIC_RULES) -> int:
+    """Write cards, shards, menus, the table export, the search index and, last, the entry page."""
+    newest = library.store.latest()
+    # Routing reads every text, so it runs once and all views share its result.
+    routed = materialise(with_topics(library.store.papers(), rules))
+    root, size = library.root, library.config.title_page_size
     # A new folder each time: searches that run now keep reading the index they started with.
     index = library.index_folder / uuid.uuid4().hex
-    postings.write_index(routed, str(index), rules)
-    stored, current = routed.count(), filters.current(routed).count()
-    last_sync = newest.last_sync if newest else None
-    counts = views.group_counts(routed, rules)
-    atomic_write(root / ENTRY_FILE, entry_page(
-        counts, current, stored, last_sync, search_url(library.config), rules=rules))
+    # The views do not depend on each other, so their jobs share the cluster at the same time.
+    with ThreadPoolExecutor() as pool:
+        jobs = [
+            pool.submit(_write_groups, routed, root, size, rules),
+            pool.submit(postings.write_index, routed, str(index), rules),
+            pool.submit(write_files, views.cards(routed), root),
+            pool.submit(_write_table, routed, root)]
+        counts = views.group_counts(routed, rules)
+        sizes = routed.agg(F.count(F.lit(1)).alias("stored"),
+                           F.count_if(filters.is_current()).alias("current")).first()
+        last_sync = newest.last_sync if newest else None
+        entry = entry_page(counts, sizes.current, sizes.stored, last_sync, search_url(library.config),
+                           rules=rules)
+        for job in jobs:
+            job.result()
+    atomic_write(root / ENTRY_FILE, entry)
     write_json(library.state_path, {
         "catalog_sync": last_sync, "built_at": now(), "search_index": index.name})
     by_age = sorted(library.index_folder.iterdir(), key=lambda folder: folder.stat().st_mtime)
     for outdated in by_age[:-2]:
         shutil.rmtree(outdated, ignore_errors=True)
-    return stored
+    return sizes.stored
