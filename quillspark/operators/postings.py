@@ -1,8 +1,8 @@
 """A stored search index, so that a search reads the query's terms instead of every text.
 
-``docs`` keeps one small row per paper (length, topics, order keys); ``postings`` keeps one row per
-(term, paper) with the columns the filters need, range-sorted by term so that a term filter skips
-almost all row groups and a frequent term is spread over many files.
+``docs`` keeps one small row per paper (length, topics, order keys). ``postings`` keeps one row per
+(term, paper) with the columns the filters need, in one folder per term bucket: a search lists only the
+buckets of its terms, and inside a file rows are sorted by term, so most row groups are skipped.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from functools import reduce
 from operator import add
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspark import fixed_values as fixed
 from quillspark.functions.text import tokens
@@ -24,9 +24,16 @@ DOC_COLUMNS = ["id", "version", "title", "year_month", "published", "in_latest_s
 FILTER_COLUMNS = ["year_month", "published", "in_latest_search", "topics"]
 
 
+# Layout of the stored postings.
+PAPERS_PER_BUCKET = 20_000
+MAX_BUCKETS = 4_096
+PAPERS_PER_FILE = 5_000_000
+
+
 class Index(NamedTuple):
     docs: DataFrame
     postings: DataFrame
+    buckets: int
 
 
 def _weighted_words(papers: DataFrame) -> DataFrame:
@@ -38,12 +45,12 @@ def _weighted_words(papers: DataFrame) -> DataFrame:
 def postings(papers: DataFrame, *carried: str) -> DataFrame:
     """(term, id, tf, in_title, doc_length and carried columns) for every term of every paper.
 
-    The counts combine on the map side, where all words of a paper are, so the shuffle carries
-    one row per (term, paper) and not one per word.
+    Papers are spread by id before their words are unfolded, so all words of a paper are known to be
+    in one place and the counting needs no shuffle of single words.
     """
-    worded = _weighted_words(papers)
+    by_id = papers.select("id", "title", "abstract", *carried).repartition("id")
     key = ["id", *carried, "doc_length"]
-    words = worded.select(
+    words = _weighted_words(by_id).select(
         *key, F.size("_tw").alias("_titles"), F.posexplode(F.concat("_tw", "_aw")).alias("_pos", "term"))
     from_title = F.col("_pos") < F.col("_titles")
     # The carried columns depend on the id; as keys they keep the aggregation hash-based.
@@ -58,15 +65,31 @@ def term_totals(posting_rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
 
 
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def write_index(papers: DataFrame, path: str, rules=fixed.TOPIC_RULES) -> None:
-    routed = with_topics(papers, rules)
+    """Write the index of these papers. The layout follows from their number.
+
+    A term that occurs in a third of all papers is split over ``spread`` tasks and files by id.
+    """
+    spark, routed = papers.sparkSession, with_topics(papers, rules)
     _weighted_words(routed).select(*DOC_COLUMNS, "doc_length").write.mode("overwrite").parquet(f"{path}/docs")
-    (postings(routed, *FILTER_COLUMNS).sort("term", "id")
-     .write.mode("overwrite").parquet(f"{path}/postings"))
+    stored = spark.read.parquet(f"{path}/docs").count()
+    buckets = min(MAX_BUCKETS, 1 + stored // PAPERS_PER_BUCKET)
+    spread = 1 + max(stored // PAPERS_PER_FILE, spark.sparkContext.defaultParallelism // buckets)
+    placed = postings(routed, *FILTER_COLUMNS).withColumn("bucket", _bucket(F.col("term"), buckets))
+    (placed.repartition(buckets * spread, "bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
+     .sortWithinPartitions("bucket", "term", "id")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/layout")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+    buckets = spark.read.parquet(f"{path}/layout").first().buckets
+    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), buckets)
 
 
 def stored_index(papers: DataFrame, rules=fixed.TOPIC_RULES) -> Index:
@@ -81,7 +104,11 @@ def search(index: Index, query: str, limit: int | None = 12, topic: str | None =
            year: int | None = None, include_missing: bool = False) -> DataFrame:
     """The same ranking as ``ranking.search``, from the index. Returns the ``docs`` columns and score."""
     terms = query_terms(index.docs.sparkSession, query)
-    matching = restrict(index.postings.where(F.col("term").isin(terms)), topic, year, include_missing)
+    # The bucket numbers of the terms, as literals, prune the folders that are read.
+    numbers = index.docs.sparkSession.range(1).select(
+        F.array(*[_bucket(F.lit(t), index.buckets) for t in terms]).alias("b")).first().b
+    found = index.postings.where(F.col("bucket").isin(numbers) & F.col("term").isin(terms))
+    matching = restrict(found, topic, year, include_missing)
     corpus = restrict(index.docs, topic, year, include_missing).agg(
         F.count(F.lit(1)).alias("n"), F.avg("doc_length").alias("avg_length"))
     frequency = matching.agg(*[F.count_if(F.col("term") == t).alias(f"df_{i}")
