@@ -8,6 +8,8 @@ position is its index inside its sort partition plus the group's row count in th
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,11 +38,19 @@ def _offsets(rows: DataFrame, groups: Sequence[str], value: str | None) -> DataF
     return materialise(counted.select(*columns))
 
 
+def _located(rows: DataFrame, offsets: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rows with their offsets; a NULL group is a group like any other."""
+    names = {c: f"_of_{c}" for c in [*groups, _PART]}
+    renamed = offsets.withColumnsRenamed(names)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()))
+    return rows.join(renamed, same).drop(*names.values())
+
+
 def with_position(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
                   name: str = "position") -> DataFrame:
     """Add the 0-based position of each row in its group. ``order`` has to end in a unique key."""
     rows = _sorted_once(df, groups, order)
-    located = rows.join(_offsets(rows, groups, None), [*groups, _PART])
+    located = _located(rows, _offsets(rows, groups, None), groups)
     return located.withColumn(name, F.col(_BEFORE) + F.col(_ROW) - F.col(_FIRST)).drop(
         _ROW, _PART, _FIRST, _BEFORE)
 
@@ -49,7 +59,7 @@ def with_running_total(df: DataFrame, groups: Sequence[str], order: Sequence[Col
                        name: str = "running_total") -> DataFrame:
     """Add the sum of ``value`` over the row and all rows before it in its group."""
     rows = _sorted_once(df, groups, order)
-    located = rows.join(_offsets(rows, groups, value), [*groups, _PART])
+    located = _located(rows, _offsets(rows, groups, value), groups)
     inside = Window.partitionBy(*groups, _PART).orderBy(_ROW).rowsBetween(Window.unboundedPreceding, 0)
     return located.withColumn(name, F.col(_SUM) + F.sum(value).over(inside)).drop(
         _ROW, _PART, _FIRST, _BEFORE, _SUM)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable
+from itertools import islice
 from pathlib import Path
 from typing import NamedTuple
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark import fixed_values as fixed
 from quillspark.functions.chunking import chunk_blocks
 from quillspark.functions.html import html_blocks
+from quillspark.functions.ids import parse_id_text
 from quillspark.functions.pdf import pdf_page_blocks
 from quillspark.operators import filters, fulltext, lookup
 from quillspark.plans.library import Library, now
@@ -25,6 +27,8 @@ from quillspark.sources import library as files
 from quillspark.sources.connector import FetchError
 
 Progress = Callable[[str], None]
+# Downloads between two Spark runs: at 15 seconds each, an interruption costs a few minutes of work.
+BATCH = 20
 
 
 class Paper(NamedTuple):
@@ -64,7 +68,7 @@ def _download(library: Library, client, papers: Iterable[Paper], kind: str,
     for paper in papers:
         path = _landing_path(paper, library.root, kind)
         source = base + paper.name
-        if not path.exists() or path.name.startswith(".incoming"):
+        if not path.exists():
             try:
                 body = client.get(source, content=True)
                 if kind == "pdf" and not body.startswith(b"%PDF-"):
@@ -140,30 +144,22 @@ def _process(library: Library, landed: list[tuple], notes: dict[str, str], outco
     return problems
 
 
-def fetch(library: Library, client, papers: DataFrame, preferred: str = "auto",
-          progress: Progress = print, pdf_udf=pdf_page_blocks) -> Outcome:
-    """Cache the full texts of catalog rows. A failed paper does not stop the others; an access denial
-    or rate limit stops all further requests, after what has landed was stored."""
-    papers = papers.select("id", "version", "title")
-    missing = fulltext.to_fetch(papers, cache_states(library))
-    # The download list: serial, so its length is bounded by the throttle, not by memory.
-    wanted = [Paper(r.id, r.version, r.title) for r in missing.orderBy("id").toLocalIterator()]
-    waiting = {p.id for p in wanted}
-    outcome = Outcome([], {})
+def _fetch_batch(library: Library, client, papers: list[Paper], preferred: str, outcome: Outcome,
+                 pdf_udf) -> FetchError | None:
+    """One batch: HTML first, then PDF for what HTML could not give. Returns a refusal, if any."""
     notes: dict[str, str] = {}
-    refusal = None
-    for_pdf = wanted if preferred == "pdf" else []
+    refusal, for_pdf = None, papers if preferred == "pdf" else []
     if preferred in ("auto", "html"):
         failures: dict[str, FetchError | ValueError] = {}
         landed: list[tuple] = []
-        refusal = _download(library, client, wanted, "html", failures, landed)
+        refusal = _download(library, client, papers, "html", failures, landed)
         unusable = _process(library, landed, notes, outcome)
-        for paper in wanted:
+        for paper in papers:
             problem = failures.get(paper.id)
-            absent = getattr(problem, "status", None) in fixed.MISSING_STATUSES
             reason = unusable.get(paper.id) or (str(problem) if problem else None)
             if reason is None:
                 continue
+            absent = getattr(problem, "status", None) in fixed.MISSING_STATUSES
             if preferred == "auto" and (paper.id in unusable or absent):
                 notes[paper.id] = f"HTML unavailable/unusable; PDF fallback used ({reason})."
                 for_pdf.append(paper)
@@ -174,21 +170,42 @@ def fetch(library: Library, client, papers: DataFrame, preferred: str = "auto",
         refusal = _download(library, client, for_pdf, "pdf", failures, landed)
         unusable = _process(library, landed, notes, outcome, pdf_udf)
         outcome.failures.update({i: str(p) for i, p in failures.items()}, **unusable)
-    progress(f"Cached {len(outcome.cached)} of {len(waiting)} papers that were not cached")
-    if refusal is not None:
-        raise refusal
+    return refusal
+
+
+def fetch(library: Library, client, papers: DataFrame, preferred: str = "auto",
+          progress: Progress = print, pdf_udf=pdf_page_blocks) -> Outcome:
+    """Cache the full texts of catalog rows, batch by batch.
+
+    A failed paper does not stop the others. An access denial or rate limit stops all further requests,
+    after what has landed was stored.
+    """
+    missing = materialise(
+        fulltext.to_fetch(papers.select("id", "version", "title"), cache_states(library)))
+    waiting = (Paper(*row) for row in missing.orderBy("id").toLocalIterator())
+    outcome = Outcome([], {})
+    while batch := list(islice(waiting, BATCH)):
+        refusal = _fetch_batch(library, client, batch, preferred, outcome, pdf_udf)
+        progress(f"Cached {len(outcome.cached)}, failed {len(outcome.failures)}")
+        if refusal is not None:
+            raise refusal
     return outcome
 
 
 def choose(library: Library, ids: list[str], everything: bool) -> DataFrame:
+    """The current papers, or the ones a user named; raises for a name that does not resolve."""
     papers = library.store.papers()
     if everything:
         return filters.current(papers)
-    chosen = [lookup.get_paper(papers, value) for value in ids]
-    result = chosen[0]
-    for one in chosen[1:]:
-        result = result.unionByName(one)
-    return result.dropDuplicates(["id"])
+    asked = [parse_id_text(value) for value in ids]
+    chosen = papers.where(F.col("id").isin([base for base, _ in asked]))
+    stored = {row.id: row.version for row in chosen.select("id", "version").collect()}
+    for base, version in asked:
+        if base not in stored:
+            raise ValueError(f"{base} is not in this catalog. Run update first.")
+        if version and version != stored[base]:
+            raise ValueError(f"Catalog describes v{stored[base]}; another version was asked for")
+    return chosen
 
 
 def read(library: Library, value: str, chunk: int | None = None, max_chars: int = 8000) -> str:

@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 _shipped: set[str] = set()
+_cuts: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -65,4 +66,13 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _cuts.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_cuts(spark: SparkSession) -> None:
+    """Delete the cut points this driver wrote; for the end of a job, when no result is still unread."""
+    settings = spark._jsc.hadoopConfiguration()
+    while _cuts:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(settings).delete(path, True)
