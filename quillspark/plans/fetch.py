@@ -50,9 +50,11 @@ class Outcome(NamedTuple):
     failures: dict[str, str]
 
 
-def cache_states(library: Library) -> DataFrame:
-    rows = files.manifests(library.spark, str(library.root))
-    return fulltext.cache_state(rows, files.stored_files(library.spark, str(library.root), rows))
+def cache_states(library: Library, keys: list[str] | None = None) -> DataFrame:
+    """Cache validity of some or all papers; only the folders of ``keys`` are read."""
+    spark, root = library.spark, str(library.root)
+    rows = files.manifests(spark, root, keys)
+    return fulltext.cache_state(rows, files.stored_files(spark, root, rows, keys))
 
 
 def _landing_path(paper: Paper, root: Path, kind: str) -> Path:
@@ -174,14 +176,15 @@ def _fetch_batch(library: Library, client, papers: list[Paper], preferred: str,
 
 
 def fetch(library: Library, client, papers: DataFrame, preferred: str = "auto",
-          progress: Progress = print, pdf_udf=pdf_page_blocks) -> Outcome:
+          progress: Progress = print, pdf_udf=pdf_page_blocks, ids: list[str] | None = None) -> Outcome:
     """Cache the full texts of catalog rows, batch by batch.
 
-    A failed paper does not stop the others. An access denial or rate limit stops all further requests,
+    When a user named the papers, ``ids`` keeps the cache check to their folders. A failed paper does not
+    stop the others. An access denial or rate limit stops all further requests,
     after what has landed was stored.
     """
     missing = materialise(
-        fulltext.to_fetch(papers.select("id", "version", "title"), cache_states(library)))
+        fulltext.to_fetch(papers.select("id", "version", "title"), cache_states(library, _keys(ids))))
     waiting = (Paper(*row) for row in missing.orderBy("id").toLocalIterator())
     outcome = Outcome([], {})
     while batch := list(islice(waiting, BATCH)):
@@ -192,6 +195,10 @@ def fetch(library: Library, client, papers: DataFrame, preferred: str = "auto",
     return outcome
 
 
+def _keys(ids: list[str] | None) -> list[str] | None:
+    return [parse_id_text(value)[0].replace("/", "_") for value in ids] if ids else None
+
+
 def choose(library: Library, ids: list[str], everything: bool) -> DataFrame:
     """The current papers, or the ones a user named; raises for a name that does not resolve."""
     papers = library.store.papers()
@@ -212,7 +219,8 @@ def read(library: Library, value: str, chunk: int | None = None, max_chars: int
     """The contents page or one verified chunk of the current version of a paper, within the budget."""
     spark, root = library.spark, str(library.root)
     paper = lookup.get_paper(library.store.papers(), value).select("id", "version").first()
-    rows = files.manifests(spark, f"{root}").where(
+    keys = _keys([paper.id])
+    rows = files.manifests(spark, root, keys).where(
         (F.col("id") == paper.id) & (F.col("version") == paper.version))
     if chunk is None:
         page = rows.select(fulltext.truncated(F.col("contents"), max_chars).alias("text")).first()
@@ -220,7 +228,7 @@ def read(library: Library, value: str, chunk: int | None = None, max_chars: int
             raise ValueError(f"The current version is not cached; fetch {paper.id} first")
         return page.text
     wanted = spark.createDataFrame([(paper.id, paper.version, chunk)], "id string, version int, chunk_no int")
-    answer = fulltext.read_chunks(rows, files.stored_files(spark, root, rows), wanted, max_chars).first()
+    answer = fulltext.read_chunks(rows, files.stored_files(spark, root, rows, keys), wanted, max_chars).first()
     if answer.problem:
         raise ValueError(f"{answer.problem} ({paper.id})")
     return answer.text

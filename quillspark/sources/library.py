@@ -99,28 +99,42 @@ def _owner(file: str) -> list[Column]:
             F.regexp_extract(file, inside, 3).alias("path")]
 
 
-def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """(id, version, contents, manifest) of every cached full text."""
-    stored = _whole_files(spark, f"{root}/papers/*/*/manifest.json").select(
+def _paper_folders(root: str, keys: list[str] | None) -> str:
+    """Glob of the folders of these papers (ids in file form), or of all papers."""
+    return f"{root}/papers/{'*' if keys is None else '{' + ','.join(keys) + '}'}/*"
+
+
+def cached_versions(spark: SparkSession, root: str) -> DataFrame:
+    """(id, version) of every manifest, from the file names alone."""
+    named = _whole_files(spark, f"{_paper_folders(root, None)}/manifest.json").select(*_owner("file")[:2])
+    # In file form only the slash before an old identifier's seven digits became an underscore.
+    return named.select(F.regexp_replace("key", r"_(\d{7})\z", "/$1").alias("id"), "version")
+
+
+def manifests(spark: SparkSession, root: str, keys: list[str] | None = None) -> DataFrame:
+    """(id, version, contents, manifest) of the cached full texts of some or all papers."""
+    folders = _paper_folders(root, keys)
+    stored = _whole_files(spark, f"{folders}/manifest.json").select(
         *_owner("file")[:2], F.from_json("value", MANIFEST).alias("manifest"))
-    contents = _whole_files(spark, f"{root}/papers/*/*/CONTENTS.md").select(
+    contents = _whole_files(spark, f"{folders}/CONTENTS.md").select(
         *_owner("file")[:2], F.col("value").alias("contents"))
     return stored.join(contents, ["key", "version"], "left").where("manifest IS NOT NULL").select(
         F.col("manifest.arxiv_id").alias("id"), F.col("manifest.version").alias("version"),
         "contents", "manifest")
 
 
-def chunk_files(spark: SparkSession, root: str) -> DataFrame:
-    """(key, version, path, body) of every chunk file; ``key`` is the id in file form."""
-    return _whole_files(spark, f"{root}/papers/*/*/chunks/*.md").select(
+def chunk_files(spark: SparkSession, root: str, keys: list[str] | None = None) -> DataFrame:
+    """(key, version, path, body) of the chunk files of some or all papers; ``key`` is the file form."""
+    return _whole_files(spark, f"{_paper_folders(root, keys)}/chunks/*.md").select(
         *_owner("file"), F.col("value").alias("body"))
 
 
-def stored_files(spark: SparkSession, root: str, manifest_rows: DataFrame) -> DataFrame:
+def stored_files(spark: SparkSession, root: str, manifest_rows: DataFrame,
+                 keys: list[str] | None = None) -> DataFrame:
     """(id, version, path, body) of the chunk files of known manifests."""
     owners = manifest_rows.select(
         "id", "version", F.replace("id", F.lit("/"), F.lit("_")).alias("key"))
-    return chunk_files(spark, root).join(owners, ["key", "version"]).select("id", "version", "path", "body")
+    return chunk_files(spark, root, keys).join(owners, ["key", "version"]).select("id", "version", "path", "body")
 
 
 def originals(spark: SparkSession, paths: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from quillspark.schema import PAPER_COLUMNS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table; one with fewer files than cores is spread, as each file may be one row group."""
+    """A Parquet table; one with fewer scan tasks than cores is spread over all of them."""
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def papers_from_documents(documents: DataFrame) -> DataFrame:

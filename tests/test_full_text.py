@@ -102,7 +102,8 @@ def stocked(library):
 
 def fetch(library, client, ids, preferred="html", **options):
     papers = fetch_plan.choose(library, ids, everything=not ids)
-    return fetch_plan.fetch(library, client, papers, preferred, progress=lambda _: None, **options)
+    return fetch_plan.fetch(
+        library, client, papers, preferred, progress=lambda _: None, ids=ids, **options)
 
 
 def is_valid(library, paper):
@@ -113,6 +114,7 @@ def is_valid(library, paper):
 def test_cache_survives_damage_without_a_second_download(stocked):
     client = ScriptedClient(article())
     assert fetch(stocked, client, ["cs/9901001"]).cached == ["cs/9901001"]
+    assert [tuple(r) for r in files.cached_versions(stocked.spark, str(stocked.root)).collect()] == [("cs/9901001", 1)]
     folder = stocked.root / "papers/cs_9901001/cs_9901001v1"
     assert is_valid(stocked, "cs/9901001") and (folder / "original.html").read_bytes() == article()
     assert fetch(stocked, client, ["cs/9901001"]).cached == [] and len(client.urls) == 1
