@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import mixing, sharding, weak_rules
+from quillspark.llm import mixing, sharding, simhash, substring_dedup, weak_rules
 from quillspark.llm.common import load
 
 SHARDS = 24
@@ -46,10 +46,23 @@ def mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_rows(docs, mix_weights(spark), MIX_PATH, budget_share=0.8, max_epochs=4, seed=7)
 
 
+def substring(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.without_repeats(load(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    classes = simhash.near_classes(load(spark, folder, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+                          "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_super_k_mers": substring,
     "op2_weak_rules": rules,
     "op3_rendezvous_shards": shards,
     "op6_hierarchical_mix": mixture,
+    "op7_deletion_variants": near_copies,
 }
 
 ORACLE: dict[str, str] = {}
