@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import mixing, sharding, simhash, substring_dedup, weak_rules
+from quillspark.llm import (
+    mixing, pieces_bpe, sharding, simhash, substring_dedup, token_files, weak_rules, winnowing)
 from quillspark.llm.common import load
 
 SHARDS = 24
@@ -57,12 +58,39 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
                           "component_id")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def winnowed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = winnowing.compared(load(spark, folder, "documents"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", winnowing.as_text("hashes").alias("fingerprint"),
+                       winnowing.as_text("edited_hashes").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.stored(load(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def piece_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    rows = pieces_bpe.encoded(docs, tokenizer_file("piece_bpe_32k.model"))
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_super_k_mers": substring,
     "op2_weak_rules": rules,
     "op3_rendezvous_shards": shards,
+    "op5_winnowing": winnowed,
     "op6_hierarchical_mix": mixture,
     "op7_deletion_variants": near_copies,
+    "op8_orc_tokens": tokens,
+    "op9_piece_agenda": piece_ids,
 }
 
 ORACLE: dict[str, str] = {}
