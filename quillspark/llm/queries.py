@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import (
-    mixing, pieces_bpe, sharding, simhash, substring_dedup, token_files, weak_rules, winnowing)
+    byte_network, labelled, mixing, pieces_bpe, sharding, simhash, substring_dedup, token_files, toxicity,
+    weak_rules, winnowing)
 from quillspark.llm.common import load
 
 SHARDS = 24
@@ -52,6 +53,22 @@ def substring(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: Scores from here on count as label 1.
+ACCEPT = 0.3
+
+
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    scores = toxicity.scored(load(spark, folder, "documents"), load(spark, folder, "labels"))
+    return scores.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    scores = byte_network.scored(docs, byte_network.fitted(docs, load(spark, folder, "labels")))
+    return scores.select("doc_id", F.coalesce(labelled.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+                         "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
 def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     classes = simhash.near_classes(load(spark, folder, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
@@ -86,11 +103,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_super_k_mers": substring,
     "op2_weak_rules": rules,
     "op3_rendezvous_shards": shards,
+    "op4_counterfactual_toxicity": toxic,
     "op5_winnowing": winnowed,
     "op6_hierarchical_mix": mixture,
     "op7_deletion_variants": near_copies,
     "op8_orc_tokens": tokens,
     "op9_piece_agenda": piece_ids,
+    "op10_byte_network": quality,
 }
 
 ORACLE: dict[str, str] = {}
