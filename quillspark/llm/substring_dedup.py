@@ -157,7 +157,7 @@ def _count_windows(window: int):
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds n_words, n_removed and the kept words; the last column holds the spans to remove."""
+    """Adds n_words, n_removed and the kept words; the last two columns are the text and the spans to remove."""
     for batch in batches:
         at = batch.num_columns
         n_words, n_removed, kept = [], [], []
@@ -173,9 +173,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(len(words) - len(left))
             kept.append(b" ".join(left).decode())
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:at - 2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+            [*batch.columns[:at - 1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
              pa.array(kept, pa.string())],
-            names=[*batch.schema.names[:at - 2], "n_words", "n_removed", "kept_text"])
+            names=[*batch.schema.names[:at - 1], "n_words", "n_removed", "kept_text"])
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
@@ -225,14 +225,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     unchanged); it is repeated if its words also start anywhere else, in the same text or another. All are
     judged on the input. Kept words are joined by one space. Texts shorter than a window lose nothing; NULL
     and empty texts have no words. A row that comes twice repeats itself, so both lose their windows; rows
-    with equal keys and other texts are told apart by the text. NULL keys are a key. All other columns are
-    kept; columns called n_words, n_removed or kept_text are replaced.
+    with equal keys and other texts are told apart by the text. NULL keys are a key. All other columns and
+    the text are kept; columns called n_words, n_removed or kept_text are replaced.
     """
     spans = materialise(repeated_spans(docs, key, text, window, minimiser))
     spans = spans.withColumnsRenamed({"_id": "_i", "_hash": "_h", "spans": "_spans"})
     others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", text)]
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(
-        spans, same_key({key: "_i", "_hash": "_h"}), "left")
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    inner = rows.select(*[F.col(c).alias(c) for c in others], F.col(text).alias("_text"), "_spans")
-    return inner.mapInArrow(_remove, f"{kinds}, n_words bigint, n_removed bigint, kept_text string")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others"), F.col(key).alias("_id"),
+                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), F.col(text).alias("_text"))
+    rows = packed.join(spans, same_key({"_id": "_i", "_hash": "_h"}), "left").select("_others", "_text", "_spans")
+    kind = rows.schema["_others"].dataType.simpleString()
+    out = rows.mapInArrow(_remove, f"_others {kind}, _text string, n_words bigint, n_removed bigint, kept_text string")
+    return out.select("_others.*", F.col("_text").alias(text), "n_words", "n_removed", "kept_text")
