@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import (
-    byte_network, labelled, mixing, pieces_bpe, sharding, simhash, substring_dedup, token_files, toxicity,
+    byte_network, labelled, mixing, oracle, pieces_bpe, sharding, simhash, substring_dedup, token_files, toxicity,
     weak_rules, winnowing)
 from quillspark.llm.common import load
 
@@ -17,7 +17,7 @@ SHARDS = 24
 def rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = weak_rules.judged(load(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         "base_failed", "kept", "p_good")
+                         "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
 def shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +32,9 @@ MIX_WEIGHTS = [
     *[(d, lang, None, w) for d in DOMAINS for lang, w in (("en", 6), ("fr", 2), ("de", 2), ("es", 2))]]
 
 
+MIX = {"budget_share": 0.8, "max_epochs": 4, "seed": 7}
+
+
 def with_domain(docs: DataFrame) -> DataFrame:
     """The domain of a document, from the number in its source's name; sources without one are 'web'."""
     number = F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).cast("bigint"), F.lit(0))
@@ -45,7 +48,7 @@ def mix_weights(spark: SparkSession) -> DataFrame:
 
 def mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = with_domain(load(spark, folder, "documents"))
-    return mixing.mixed_rows(docs, mix_weights(spark), MIX_PATH, budget_share=0.8, max_epochs=4, seed=7)
+    return mixing.mixed_rows(docs, mix_weights(spark), MIX_PATH, **MIX)
 
 
 def substring(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,4 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_network": quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_super_k_mers": oracle.SUBSTRING,
+    "op2_weak_rules": oracle.RULES,
+    "op6_hierarchical_mix": oracle.mixture(MIX_PATH, DOMAINS, MIX_WEIGHTS, MIX["budget_share"], MIX["max_epochs"],
+                                           MIX["seed"]),
+}
