@@ -11,7 +11,7 @@ COUNTED_STATES = ["added", "updated", "unchanged", "not_in_latest_search"]
 _SEEN = ["first_seen", "last_seen", "in_latest_search"]
 
 
-def _judged(paired: DataFrame, fields: list[str], known: set[str]) -> DataFrame:
+def _judged(paired: DataFrame, fields: list[str], known: list[str]) -> DataFrame:
     """Add the state of every (n = incoming, o = stored) pair and whether the stored row is kept."""
     stale = F.struct("n.version", "n.updated") < F.struct("o.version", "o.updated")
     same = reduce(and_, (
@@ -24,12 +24,15 @@ def _judged(paired: DataFrame, fields: list[str], known: set[str]) -> DataFrame:
     return paired.withColumns({"state": state, "_keep": keep_old})
 
 
-def _outcome(fields: list[str], known: set[str], stamp: str) -> list[Column]:
+def _outcome(fields: list[str], known: list[str], stamp: str) -> list[Column]:
     def old(name: str) -> Column:
         return F.col(f"o.{name}") if name in known else F.lit(None)
     unseen = F.col("n").isNull()
     chosen = [F.when(F.col("_keep"), old(c)).otherwise(F.col(f"n.{c}")).alias(c) for c in fields]
-    return ["id", *chosen,
+    # A stored row that stays keeps its other columns; a row that the scan replaces has none of them.
+    others = [c for c in known if c not in {"id", "state", *_SEEN, *fields}]
+    kept = [F.when(F.col("_keep"), F.col(f"o.{c}")).alias(c) for c in others]
+    return ["id", *chosen, *kept,
             F.coalesce("o.first_seen", F.lit(stamp)).alias("first_seen"),
             F.when(unseen, F.col("o.last_seen")).otherwise(F.lit(stamp)).alias("last_seen"),
             (~unseen).alias("in_latest_search"), "state"]
@@ -38,14 +41,15 @@ def _outcome(fields: list[str], known: set[str], stamp: str) -> list[Column]:
 def merge(old: DataFrame, incoming: DataFrame, stamp: str, repeats: str | None = None) -> DataFrame:
     """Merge a complete scan: nothing is removed, and an older revision never replaces a newer one.
 
-    The result is the new catalog plus a ``state`` column. Rows are matched by one full outer join on
+    The result is the new catalog plus a ``state`` column. Stored columns that the scan lacks stay with the
+    stored rows that stay. Rows are matched by one full outer join on
     ``id``. When the scan may hold an id more than once, ``repeats`` names a column with its order;
     each copy is judged against the stored row and the last one that is not stale is kept.
     """
     if repeats:
         return _merge_repeats(old, incoming, stamp, repeats)[0]
     fields = [c for c in incoming.columns if c != "id"]
-    known = set(old.columns)
+    known = old.columns
     paired = _packed(incoming, "n").join(_packed(old, "o"), "id", "full_outer")
     return _judged(paired, fields, known).select(*_outcome(fields, known, stamp))
 
@@ -58,7 +62,7 @@ def _packed(df: DataFrame, name: str, *extra: str) -> DataFrame:
 def _merge_repeats(old: DataFrame, incoming: DataFrame, stamp: str,
                    order: str) -> tuple[DataFrame, DataFrame]:
     fields = [c for c in incoming.columns if c not in ("id", order)]
-    known = set(old.columns)
+    known = old.columns
     new, stored = _packed(incoming, "n", order), _packed(old, "o")
     # A left join lets the adaptive planner split an id that holds a large share of the scan, and the
     # aggregation combines on the map side before it shuffles.

@@ -61,7 +61,10 @@ def parse_ids(spark, sf):
                   F.concat(F.lit("http://export.arxiv.org/html/"), paper_version))
             .when(F.array_contains("categories", "physics.es"), F.concat(F.lit(" "), F.col("id"), F.lit("\n")))
             .otherwise(F.col("abs_url")))
-    values = p.select(form.alias("value")).unionByName(
+    number = F.lpad((F.octet_length("abstract") % 10_000_000).cast("string"), 7, "0")
+    old_style = F.concat(F.lit("Math.GT/"), number, F.lit("V"), (F.col("version") + 10).cast("string"))
+    too_long = F.concat(F.col("id"), F.lit("v1"), F.repeat(F.lit("0"), F.lit(17) + F.col("version")))
+    values = p.select(F.explode(F.array(form, old_style, too_long)).alias("value")).unionByName(
         table(spark, sf, "pages").select(F.col("url").alias("value")))
     parsed = values.withColumn("parsed", ids.parse_id(F.col("value")))
     return parsed.select("value", F.col("parsed.base").alias("base"),
@@ -349,15 +352,17 @@ def lookup_ids(spark, sf):
     p = papers(spark, sf)
     doc = table(spark, sf, "documents").select("doc_id", "n_chars", "text", "lang", "source")
     labelled = table(spark, sf, "labels").join(doc, "doc_id")
-    asked = papers_from_documents(labelled).withColumn(
-        "value", F.concat(F.col("abs_url"), F.lit("")))
-    moved = asked.select(F.when(
+    # Asked are the labelled papers (some in another version), the pages' addresses, which are no identifiers, and
+    # for each page an identifier of a month from which the catalog has no paper.
+    moved = papers_from_documents(labelled).select(F.when(
         F.col("primary_category") < "cs.src2", F.concat(F.lit("https://arxiv.org/abs/"), F.col("id"), F.lit("v2"))
-    ).otherwise(F.col("value")).alias("value"))
-    foreign = table(spark, sf, "pages").select(F.col("url").alias("value"))
-    known = p.where("NOT array_contains(categories, 'physics.es')").select("id", "version", "title")
-    return lookup.lookup(known, moved.unionByName(foreign)).select(
-        "value", "id", "version", "title", "problem")
+    ).otherwise(F.col("abs_url")).alias("value"), F.octet_length("abstract").cast("bigint").alias("position"))
+    pages = table(spark, sf, "pages")
+    foreign = pages.select(F.col("url").alias("value"), F.col("page_id").alias("position"))
+    absent = pages.select(F.concat(F.lit("9912."), F.lpad((F.col("page_id") % 100_000).cast("string"), 5, "0"))
+                          .alias("value"), F.col("page_id").alias("position"))
+    return lookup.lookup(p.select("id", "version", "title"), moved.unionByName(foreign).unionByName(absent)).select(
+        "value", "position", "id", "version", "title", "problem")
 
 
 def status_counts(spark, sf):

@@ -326,12 +326,15 @@ asked AS (
   SELECT CASE WHEN lang = 'fr' THEN pdf_url || '.pdf'
               WHEN lang = 'de' THEN 'http://export.arxiv.org/html/' || id || 'v' || version
               WHEN lang = 'es' THEN ' ' || id || chr(10) ELSE abs_url END AS value FROM papers
+  UNION ALL SELECT 'Math.GT/' || lpad(CAST(strlen(abstract) % 10000000 AS VARCHAR), 7, '0') || 'V' || (version + 10) FROM papers
+  UNION ALL SELECT id || 'v1' || repeat('0', 17 + version) FROM papers
   UNION ALL SELECT url FROM pages)"""
+    # Written from the published rule: the identifier without regard to case; a version of over 18 digits is none.
     bare = (r"regexp_replace(regexp_replace(trim(value, ' ' || chr(10)), "
             r"'^https?://(export\.)?arxiv\.org/(abs|pdf|html)/', ''), '\.pdf$', '')")
-    shape = r"'^(\d{4}\.\d{4,5}|[a-zA-Z][a-zA-Z0-9.-]*/\d{7})(v([1-9]\d*))?$'"
-    base = f"nullif(regexp_extract({bare}, {shape}, 1), '')"
-    number = f"nullif(regexp_extract({bare}, {shape}, 3), '')"
+    shape = r"'^(\d{4}\.\d{4,5}|[a-z][a-z0-9.-]*/\d{7})(v([1-9]\d{0,17}))?$'"
+    base = f"nullif(regexp_extract({bare}, {shape}, 1, 'i'), '')"
+    number = f"nullif(regexp_extract({bare}, {shape}, 3, 'i'), '')"
     contents_head = (
         f"'# ' || title || {lit(chr(10) * 2 + 'arXiv: ')} || id || 'v' || version || {lit(chr(10) + 'Source: ')}"
         f" || source_url || " + lit(
@@ -342,7 +345,7 @@ asked AS (
     sql = {
         "clean_text": p + f"SELECT id, {clean('abstract')} AS cleaned FROM papers",
         "parse_ids": with_(PAPERS, asked) + f"""
-SELECT value, {base} AS base, CAST({number} AS INTEGER) AS version,
+SELECT value, {base} AS base, CAST({number} AS BIGINT) AS version,
        replace({base}, '/', '_') || coalesce('v' || {number}, '') AS safe FROM asked""",
         "year_months": p + """
 SELECT id, substr(published, 1, 7) AS month, try_cast(published AS TIMESTAMPTZ) IS NOT NULL AS valid,
@@ -465,11 +468,14 @@ FROM (SELECT n, unnest(range((n + {q.SCAN_PAGE} - 1) // {q.SCAN_PAGE})) AS p
         "lookup_ids": p + """
 , asked AS (
   SELECT CASE WHEN primary_category < 'cs.src2' THEN 'https://arxiv.org/abs/' || id || 'v2' ELSE abs_url END
-         AS value, id, CASE WHEN primary_category < 'cs.src2' THEN 2 ELSE version END AS wanted
+         AS value, CAST(strlen(abstract) AS BIGINT) AS position, id,
+         CASE WHEN primary_category < 'cs.src2' THEN 2 ELSE version END AS wanted
   FROM papers JOIN labels USING (doc_id)
-  UNION ALL SELECT url, NULL, NULL FROM pages),
-known AS (SELECT id, version, title FROM papers WHERE lang <> 'es')
-SELECT value, a.id AS id, k.version AS version, k.title AS title,
+  UNION ALL SELECT url, page_id, NULL, NULL FROM pages
+  UNION ALL SELECT '9912.' || lpad(CAST(page_id % 100000 AS VARCHAR), 5, '0'), page_id,
+         '9912.' || lpad(CAST(page_id % 100000 AS VARCHAR), 5, '0'), NULL FROM pages),
+known AS (SELECT id, version, title FROM papers)
+SELECT value, position, a.id AS id, k.version AS version, k.title AS title,
        CASE WHEN a.id IS NULL THEN 'invalid identifier' WHEN k.id IS NULL THEN 'not in this catalog'
             WHEN wanted <> k.version THEN 'catalog describes another version' END AS problem
 FROM asked a LEFT JOIN known k ON a.id = k.id""",

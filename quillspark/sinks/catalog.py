@@ -22,6 +22,8 @@ COMMIT = T.StructType([
     T.StructField("query", T.StringType()),
     T.StructField("last_sync", T.StringType()),
     T.StructField("last_report", REPORT),
+    T.StructField("stream", T.StringType()),
+    T.StructField("batch", T.LongType()),
 ])
 SCHEMA_VERSION = 1
 
@@ -71,15 +73,21 @@ class CatalogStore:
     def prune(self, keep: int = 2) -> None:
         """Delete generations older than the newest ``keep``: the catalog and its backup."""
         oldest_kept = self.generation() - keep + 1
-        jvm, settings = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for row in self.commits().where(F.col("generation") < oldest_kept).select("generation").collect():
-            path = jvm.org.apache.hadoop.fs.Path(self._folder(row.generation))
-            path.getFileSystem(settings).delete(path, True)
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/generations")
+        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in store.listStatus(root):  # the folders that still exist, not every commit ever made
+            if int(found.getPath().getName()) < oldest_kept:
+                store.delete(found.getPath(), True)
+
+    def last_batch(self, stream: str) -> int:
+        """The highest micro-batch of a streaming query that the catalog holds; -1 when there is none."""
+        newest = self.commits().where(F.col("stream") == stream).agg(F.max("batch")).first()[0]
+        return -1 if newest is None else newest
 
     def commit(self, generation: int, query: str | None = None, last_sync: str | None = None,
-               report: dict | None = None) -> None:
+               report: dict | None = None, stream: str | None = None, batch: int | None = None) -> None:
         """Make a written generation the catalog. The log row appears in one rename."""
         row = (generation, SCHEMA_VERSION, query, last_sync,
-               None if report is None else tuple(report.get(name) for name in REPORT.names))
+               None if report is None else tuple(report.get(name) for name in REPORT.names), stream, batch)
         self.spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("append").json(
             f"{self.root}/commits")

@@ -34,7 +34,7 @@ def _paper(entry: Column) -> Column:
     published = F.coalesce(entry["published"], F.lit(""))
     paper_version = versioned(parsed["base"], parsed["version"])
     fields = {
-        "id": parsed["base"], "version": parsed["version"],
+        "id": parsed["base"], "version": parsed["version"].try_cast("int"),
         "title": clean(entry["title"]), "abstract": clean(entry["summary"]),
         "published": published, "updated": F.coalesce(entry["updated"], F.lit("")),
         "authors": authors, "categories": categories,

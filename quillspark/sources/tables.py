@@ -10,10 +10,8 @@ from quillspark.schema import PAPER_COLUMNS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table; one with fewer scan tasks than cores is spread over all of them."""
-    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A Parquet table, scanned as it lies; session settings decide how many tasks read it."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def papers_from_documents(documents: DataFrame) -> DataFrame:

@@ -25,41 +25,73 @@ def latest_revisions(records: DataFrame) -> DataFrame:
 class StreamMerger:
     """A foreachBatch sink that merges each micro-batch into the stored catalog.
 
-    Batch ``n`` turns generation ``n`` into generation ``n + 1``. A batch that is replayed after a
-    failure finds its generation committed and does nothing, or writes it again from the same input,
-    so every batch counts exactly once. A record older than the stored revision is ignored, whatever
-    batch it arrives in.
+    A commit names the streaming query and its batch. A batch that is replayed after a failure is skipped if
+    the catalog holds it and merged again from the same input if not, so every batch counts once, whatever
+    else has written to the catalog. A new checkpoint is a new query, whose batches are all merged. A record
+    older than the stored revision is ignored, whatever batch it arrives in.
     """
 
-    def __init__(self, store: CatalogStore):
-        self.store = store
+    def __init__(self, store: CatalogStore, checkpoint: str):
+        self.store, self.checkpoint, self._stream = store, checkpoint, None
+
+    def stream(self) -> str:
+        """The id that the checkpoint gives its query."""
+        if self._stream is None:
+            self._stream = self.store.spark.read.json(f"{self.checkpoint}/metadata").first()["id"]
+        return self._stream
 
     def __call__(self, records: DataFrame, batch: int) -> None:
-        target = batch + 1
-        if self.store.generation() >= target:
+        stream = self.stream()
+        if self.store.last_batch(stream) >= batch:
             return
-        stamp = f"batch {batch:08d}"
+        target, stamp = self.store.generation() + 1, f"batch {batch:08d}"
         merged = merge(self.store.papers(), latest_revisions(records), stamp).drop("state")
         # A micro-batch is only a part of a scan: records it does not mention are still current.
         self.store.write(merged.withColumn("in_latest_search", F.lit(True)), target)
-        self.store.commit(target, last_sync=stamp)
+        self.store.commit(target, last_sync=stamp, stream=stream, batch=batch)
         self.store.prune()
 
 
+class PageMerger:
+    """A foreachBatch sink for raw Atom pages: good batches are merged, a bad page stops the stream.
+
+    The pages that break a rule are written to the error table first, with the reason. None of the batch is
+    merged then, so nothing is lost: the batch runs again once the page is mended or taken away.
+    """
+
+    def __init__(self, merger: StreamMerger, errors: str):
+        self.merger, self.errors = merger, errors
+
+    def __call__(self, pages: DataFrame, batch: int) -> None:
+        checked, entries = parse_feed(pages)
+        bad = checked.where("error IS NOT NULL").select("offset", "error")
+        bad.write.mode("overwrite").json(f"{self.errors}/batch={batch}")
+        first = self.merger.store.spark.read.schema(bad.schema).json(f"{self.errors}/batch={batch}").first()
+        if first:
+            raise ValueError(f"Page {first.offset} of batch {batch} is not usable: {first.error}")
+        self.merger(entries.drop("offset", "position"), batch)
+
+
+def _drain(stream: DataFrame, sink, checkpoint: str) -> None:
+    query = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def run_merge(records: DataFrame, root: str) -> DataFrame:
     """Drain a streaming DataFrame of records into the catalog under ``root``; returns its state."""
     seen = T.StructType(records.schema.fields + SEEN_FIELDS)
     store = CatalogStore(records.sparkSession, f"{root}/catalog", seen)
-    query = (records.writeStream.foreachBatch(StreamMerger(store))
-             .option("checkpointLocation", f"{root}/checkpoint")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    _drain(records, StreamMerger(store, f"{root}/checkpoint"), f"{root}/checkpoint")
     return store.papers()
 
 
-def landed_page_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Catalog records of Atom pages as they land in ``folder``; unusable pages yield none."""
-    return parse_feed(raw_page_stream(spark, folder))[1].drop("offset", "position")
+def run_page_merge(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """Drain the Atom pages that landed in ``folder`` into the catalog under ``root``; returns its state."""
+    store = CatalogStore(spark, f"{root}/catalog")
+    merger = PageMerger(StreamMerger(store, f"{root}/checkpoint"), f"{root}/bad_pages")
+    _drain(raw_page_stream(spark, folder), merger, f"{root}/checkpoint")
+    return store.papers()
 
 
 def merge_events(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:

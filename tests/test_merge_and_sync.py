@@ -2,6 +2,7 @@ import json
 
 import pytest
 from conftest import ScriptedClient, make_feed, make_paper, papers_df
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quillspark.config import Config, api_query, scan_identity, search_url
@@ -11,7 +12,10 @@ from quillspark.plans.library import Library, writer_lock
 from quillspark.schema import CATALOG, PAPER_COLUMNS
 from quillspark.sources.connector import FetchError
 from quillspark.sources.feed import parse_feed
-from quillspark.streaming.merge_stream import landed_page_records, run_merge
+from quillspark.operators.lookup import lookup
+from quillspark.sinks.catalog import CatalogStore
+from quillspark.sources.library import raw_page_stream
+from quillspark.streaming.merge_stream import PageMerger, StreamMerger, _drain, run_page_merge
 
 
 def quiet(_):
@@ -188,17 +192,65 @@ def test_lock_excludes_a_second_writer(tmp_path):
         pass
 
 
+def landed(folder, offset, *papers):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{offset:06d}.xml").write_bytes(make_feed(list(papers)))
+
+
 def test_stream_merges_pages_as_they_land_and_ignores_late_revisions(spark, tmp_path):
-    land = tmp_path / "land"
-    land.mkdir()
-    (land / "000000.xml").write_bytes(make_feed([make_paper(version=2), make_paper("2401.00002")]))
-    root = str(tmp_path / "state")
-    first = run_merge(landed_page_records(spark, str(land)), root)
+    land, root = tmp_path / "land", str(tmp_path / "state")
+    landed(land, 0, make_paper(version=2), make_paper("2401.00002"))
+    first = run_page_merge(spark, str(land), root)
     assert {(r.id, r.version) for r in first.collect()} == {("2401.00001", 2), ("2401.00002", 1)}
-    (land / "000002.xml").write_bytes(make_feed([make_paper(version=1), make_paper("2401.00002", version=3)]))
-    (land / "000004.xml").write_text("not a feed")
-    second = run_merge(landed_page_records(spark, str(land)), root)
+    landed(land, 2, make_paper(version=1), make_paper("2401.00002", version=3))
+    second = run_page_merge(spark, str(land), root)
     assert {(r.id, r.version) for r in second.collect()} == {("2401.00001", 2), ("2401.00002", 3)}
     assert all(r.first_seen == "batch 00000000" for r in second.collect())
-    unchanged = run_merge(landed_page_records(spark, str(land)), root)
+    unchanged = run_page_merge(spark, str(land), root)
     assert unchanged.count() == 2 and set(PAPER_COLUMNS) <= set(unchanged.columns)
+
+
+def test_stream_with_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    store = CatalogStore(spark, f"{tmp_path}/state/catalog")
+    for offset in (0, 2):
+        landed(tmp_path / "land", offset, make_paper(f"2401.0000{offset + 1}"))
+        run_page_merge(spark, f"{tmp_path}/land", f"{tmp_path}/state")
+    assert store.generation() == 2
+    # Another stream (a checkpoint of its own) with one batch, into the same catalog.
+    landed(tmp_path / "other", 0, make_paper("2401.00009"))
+    merger = StreamMerger(store, f"{tmp_path}/lost/checkpoint")
+    _drain(raw_page_stream(spark, f"{tmp_path}/other"), PageMerger(merger, f"{tmp_path}/lost/bad"), merger.checkpoint)
+    assert {r.id for r in store.papers().collect()} == {"2401.00001", "2401.00003", "2401.00009"}
+    # The same batch once more changes nothing.
+    before = store.generation()
+    merger(store.papers().drop("first_seen", "last_seen", "in_latest_search"), 0)
+    assert store.generation() == before
+
+
+def test_a_bad_page_stops_the_stream_and_is_kept(spark, tmp_path):
+    land, root = tmp_path / "land", str(tmp_path / "state")
+    landed(land, 0, make_paper(), make_paper("2401.00002", title=""))
+    with pytest.raises(StreamingQueryException, match="not usable"):
+        run_page_merge(spark, str(land), root)
+    bad = spark.read.json(f"{root}/bad_pages").collect()
+    assert [(r.offset, r.error) for r in bad] == [(0, "Incomplete metadata for 2401.00002")]
+    landed(land, 0, make_paper(), make_paper("2401.00002", title="Now complete"))
+    assert run_page_merge(spark, str(land), root).count() == 2
+
+
+def test_stored_columns_that_a_scan_lacks_stay(spark):
+    stored = papers_df(spark, make_paper(version=3), make_paper("2401.00002"), make_paper("2401.00003")).selectExpr(
+        "*", "'mine' AS extra", "'t0' AS first_seen", "'t0' AS last_seen", "true AS in_latest_search")
+    scan = papers_df(spark, make_paper(version=2), make_paper("2401.00002", version=2))
+    for merged in (merge.merge(stored, scan, "t1"),
+                   merge.merge(stored, scan.withColumn("position", F.lit(1)), "t1", repeats="position")):
+        assert {(r.id, r.version, r.extra) for r in merged.collect()} == {
+            ("2401.00001", 3, "mine"), ("2401.00002", 2, None), ("2401.00003", 1, "mine")}
+
+
+def test_lookup_keeps_positions_and_odd_values(spark):
+    wanted = spark.createDataFrame([(0, "no id"), (1, "2401.00002V1"), (2, None), (3, "2401.00002"), (4, "2401.99999")],
+                                   "position int, value string")
+    rows = lookup(papers_df(spark, make_paper("2401.00002")).select("id", "version", "title"), wanted).collect()
+    assert sorted((r.position, r.problem) for r in rows) == [
+        (0, "invalid identifier"), (1, None), (2, "invalid identifier"), (3, None), (4, "not in this catalog")]

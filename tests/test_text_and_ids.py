@@ -33,8 +33,11 @@ def test_parse_ids(spark):
         "http://export.arxiv.org/abs/2401.00001": ("2401.00001", None),
         " 2401.12345v12\n": ("2401.12345", 12),
         "CMP-LG/9901001": ("CMP-LG/9901001", None),
+        "2401.00001V2": ("2401.00001", 2),
+        "math.GT/0309136V" + "9" * 18: ("math.GT/0309136", 10 ** 18 - 1),
     }
-    bad = ["../../a", "2401.00001/../../x", "2401.00001v0", "https://evil.test/2401.00001", "", "cs_9901001"]
+    bad = ["../../a", "2401.00001/../../x", "2401.00001v0", "https://evil.test/2401.00001", "", "cs_9901001",
+           "2401.00001v" + "9" * 19]
     parsed = values(spark, list(good) + bad, ids.parse_id)
     assert [(p.base, p.version) for p in parsed[:len(good)]] == list(good.values())
     assert parsed[len(good):] == [None] * len(bad)
