@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark import fixed_values as fixed
@@ -93,10 +95,10 @@ def menu_lines(menu_rows: DataFrame, page_size: int, rules=fixed.TOPIC_RULES) ->
 
 
 def cards(papers: DataFrame, rules=fixed.TOPIC_RULES,
-          command: str = render.DEFAULT_COMMAND) -> DataFrame:
-    """(id, path, content) of every card, including papers missing from the latest scan."""
+          command: str = render.DEFAULT_COMMAND, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, path, content) of every card, including papers missing from the latest scan, and the columns to keep."""
     return with_topics(papers, rules).select(
-        "id", F.concat(F.lit("cards/"), file_key(F.col("id")), F.lit(".md")).alias("path"),
+        *keep, "id", F.concat(F.lit("cards/"), file_key(F.col("id")), F.lit(".md")).alias("path"),
         render.card(command).alias("content"))
 
 

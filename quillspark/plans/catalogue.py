@@ -214,7 +214,7 @@ def csv_text(spark, sf):
 
 def show_budget(spark, sf):
     p = routing.with_topics(papers(spark, sf), RULES)
-    priced = views.cards(p).join(p.select("id", "published"), "id")
+    priced = views.cards(p, keep=["published"])
     return budget.fitting_cards(priced, views.newest_first(), 100_000).select("id", "used")
 
 
