@@ -73,7 +73,11 @@ def parse_ids(spark, sf):
 
 
 def year_months(spark, sf):
-    return papers(spark, sf).select(
+    time = F.col("published")
+    form = (F.when(F.array_contains("categories", "physics.fr"), F.concat(F.substring(time, 1, 5), F.lit("13-01")))
+            .when(F.array_contains("categories", "physics.de"), F.translate(time, "TZ", " "))
+            .when(F.array_contains("categories", "physics.es"), F.concat(time, F.lit("?"))).otherwise(time))
+    return papers(spark, sf).withColumn("published", form).select(
         "id", text.year_month(F.col("published")).alias("month"),
         text.is_iso_time(F.col("published")).alias("valid"),
         text.subject(F.get("categories", 0)).alias("subject"),
@@ -162,8 +166,16 @@ def topic_route(spark, sf):
         "id", F.array_join("topics", ",").alias("topics"))
 
 
+#: Appended to a text, one by its length: default terms, and words that only look like one.
+DEFAULT_PHRASES = ["Ontology Learning", "entity-linking", "(knowledge graphs)", "SHACL", "fragments of storage",
+                   "question answering", "plain words", "owls", "taxonomy induction with reasoning"]
+
+
 def topic_route_default(spark, sf):
-    return routing.with_topics(papers(spark, sf)).select(
+    phrase = F.element_at(F.array(*[F.lit(s) for s in DEFAULT_PHRASES]),
+                          (F.octet_length("abstract") % len(DEFAULT_PHRASES) + 1).cast("int"))
+    told = papers(spark, sf).withColumn("abstract", F.concat("abstract", F.lit(" "), phrase))
+    return routing.with_topics(told).select(
         "id", F.array_join("topics", ",").alias("topics"))
 
 

@@ -67,8 +67,8 @@ def escape(x: str) -> str:
                        ("]", "&#93;"), ("\n", " ")])
 
 
-def topics(rules) -> str:
-    text = "lower(title || ' ' || abstract)"
+def topics(rules, abstract: str = "abstract") -> str:
+    text = f"lower(title || ' ' || {abstract})"
     word = r"[^\pL\pN_]"
     cases = []
     for topic, _, terms in rules:
@@ -342,13 +342,16 @@ asked AS (
             f"\n\n## Chunks\n\n{fixed.CONTENTS_TABLE_HEAD}\n"))
     contents_row = ("'| [' || lpad(CAST(chunk_no AS VARCHAR), 4, '0') || '](' || path || ') | ' || "
                     "primary_category || ' | ' || chars || ' |'")
+    told = (f"abstract || ' ' || [{', '.join(lit(s) for s in q.DEFAULT_PHRASES)}]"
+            f"[strlen(abstract) % {len(q.DEFAULT_PHRASES)} + 1]")
     sql = {
         "clean_text": p + f"SELECT id, {clean('abstract')} AS cleaned FROM papers",
         "parse_ids": with_(PAPERS, asked) + f"""
 SELECT value, {base} AS base, CAST({number} AS BIGINT) AS version,
        replace({base}, '/', '_') || coalesce('v' || {number}, '') AS safe FROM asked""",
         "year_months": p + """
-SELECT id, substr(published, 1, 7) AS month, try_cast(published AS TIMESTAMPTZ) IS NOT NULL AS valid,
+SELECT id, CASE lang WHEN 'fr' THEN substr(published, 1, 4) || '-13' ELSE substr(published, 1, 7) END AS month,
+       lang NOT IN ('fr', 'es') AS valid,
        split_part(categories[1], '.', 1) AS subject,
        CASE WHEN length(title) > 9999 THEN CAST(length(title) AS VARCHAR)
             ELSE lpad(CAST(length(title) AS VARCHAR), 4, '0') END AS padded FROM papers""",
@@ -385,7 +388,7 @@ SELECT term, id, CAST(sum(weight) AS INTEGER) AS tf, bool_or(t) AS in_title FROM
 SELECT term, count(DISTINCT id) AS df, CAST(sum(weight) AS BIGINT) AS total_tf FROM terms GROUP BY term""",
         "topic_route": p + f"SELECT id, array_to_string({topics(q.RULES)}, ',') AS topics FROM papers",
         "topic_route_default": p + f"""
-SELECT id, array_to_string({topics(fixed.TOPIC_RULES)}, ',') AS topics FROM papers""",
+SELECT id, array_to_string({topics(fixed.TOPIC_RULES, told)}, ',') AS topics FROM papers""",
         "group_counts": with_(PAPERS, MEMBERS) + "SELECT grp, count(*) AS papers FROM members GROUP BY grp",
         "current_papers": p + f"SELECT id, version, year_month FROM papers WHERE {CURRENT}",
         "total_order": p + """
