@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillspark.session import ship_package
+from quillspark.session import materialise, ship_package
 
 #: White space that ends a word: \x20 and \x09-\x0D, which is also what bytes.split() splits at.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -33,6 +34,18 @@ def python_ready(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a written table, and the shuffle files behind it given up.
+
+    Spark deletes a shuffle's files once the driver has collected what refers to it, which a job of a few large
+    steps would hardly ever do by itself; so its disk would hold the shuffles of all steps at once.
+    """
+    out = materialise(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; a NULL text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

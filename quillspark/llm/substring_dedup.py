@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import Words, mixed, pieces, python_ready, same_key, span_hashes, text_bytes
-from quillspark.session import materialise
+from quillspark.llm.common import (
+    Words, mixed, pieces, python_ready, same_key, span_hashes, stored, text_bytes)
 
 WINDOW, MINIMISER = 35, 6
 #: A minimiser with more runs than this is dealt by whole windows; the results are the same.
@@ -195,20 +195,21 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     whole = docs.select(F.col(key).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"),
                         F.col(text).alias("_text"))
     row = f"_id {kind}, _hash bigint"
-    runs = materialise(whole.mapInArrow(_list_runs(window, minimiser),
+    runs = stored(whole.mapInArrow(_list_runs(window, minimiser),
                                         f"minimiser bigint, {row}, first int, n int"))
-    common = runs.groupBy("minimiser").agg(F.count(F.lit(1)).alias("_runs")).filter("_runs > 1").select(
-        F.col("minimiser").alias("_m"), (F.col("_runs") > HOT_RUNS).alias("hot"))
-    listed = runs.join(common, F.col("minimiser") == F.col("_m")).groupBy(
+    # Stored before the join, so that the planner can split a minimiser with many runs.
+    common = stored(runs.groupBy("minimiser").agg(F.count(F.lit(1)).alias("_runs")).filter("_runs > 1").select(
+        F.col("minimiser").alias("_m"), (F.col("_runs") > HOT_RUNS).alias("hot")))
+    listed = stored(runs.join(common, F.col("minimiser") == F.col("_m")).groupBy(
         F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(
-        F.collect_set(F.struct("first", "n", "minimiser", "hot")).alias("_runs"))
-    packed = materialise(
+        F.collect_set(F.struct("first", "n", "minimiser", "hot")).alias("_runs")))
+    packed = stored(
         whole.join(listed, same_key({"_id": "_i", "_hash": "_h"})).select("_id", "_hash", "_text", "_runs")
         .mapInArrow(_pack_runs(window), f"{row}, first int, n int, bucket bigint, packed binary"))
     strings = packed.groupBy("bucket", "packed").agg(F.count(F.lit(1)).alias("copies"))
     counted = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _count_windows(window), "bucket bigint, digest binary, spans array<struct<from: int, to: int>>")
-    found = materialise(counted.withColumnsRenamed({"bucket": "_b", "digest": "_d"}))
+    found = stored(counted.withColumnsRenamed({"bucket": "_b", "digest": "_d"}))
     hits = packed.select("_id", "_hash", "first", "bucket", F.unhex(F.md5("packed")).alias("digest")).join(
         found, (F.col("bucket") == F.col("_b")) & (F.col("digest") == F.col("_d")))
     moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("first")).alias("from"),
@@ -228,7 +229,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     with equal keys and other texts are told apart by the text. NULL keys are a key. All other columns and
     the text are kept; columns called n_words, n_removed or kept_text are replaced.
     """
-    spans = materialise(repeated_spans(docs, key, text, window, minimiser))
+    spans = stored(repeated_spans(docs, key, text, window, minimiser))
     spans = spans.withColumnsRenamed({"_id": "_i", "_hash": "_h", "spans": "_spans"})
     others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", text)]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others"), F.col(key).alias("_id"),
