@@ -18,16 +18,15 @@ from quillspark.functions.text import tokens
 from quillspark.operators.filters import restrict
 from quillspark.operators.ranking import query_terms, rank_order, term_score
 from quillspark.operators.routing import with_topics
-from quillspark.session import scratch_root
+from quillspark.session import materialise, scratch_root
 
 DOC_COLUMNS = ["id", "version", "title", "year_month", "published", "in_latest_search", "topics"]
 FILTER_COLUMNS = ["year_month", "published", "in_latest_search", "topics"]
 
 
-# Layout of the stored postings.
-PAPERS_PER_BUCKET = 20_000
-MAX_BUCKETS = 4_096
-PAPERS_PER_FILE = 5_000_000
+#: Term folders of a stored index. A parameter of the layout, not derived from the data: a large library is
+#: written with more, so that a folder stays a few files.
+BUCKETS = 64
 
 
 class Index(NamedTuple):
@@ -36,29 +35,30 @@ class Index(NamedTuple):
     buckets: int
 
 
-def _weighted_words(papers: DataFrame) -> DataFrame:
-    return papers.withColumns({
-        "_tw": tokens(F.col("title")), "_aw": tokens(F.col("abstract"))}).withColumn(
-        "doc_length", fixed.TITLE_WEIGHT * F.size("_tw") + F.size("_aw"))
+def _weighted_words(papers: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, the words of title and abstract, and doc_length: each text is tokenised once."""
+    words = papers.select(*columns, tokens(F.col("title")).alias("_tw"), tokens(F.col("abstract")).alias("_aw"))
+    return words.withColumn("doc_length", fixed.TITLE_WEIGHT * F.size("_tw") + F.size("_aw"))
 
 
-def postings(papers: DataFrame, *carried: str) -> DataFrame:
-    """(term, id, tf, in_title, doc_length and carried columns) for every term of every paper.
-
-    Papers are spread by id before their words are unfolded, so all words of a paper are known to be
-    in one place and the counting needs no shuffle of single words.
-    """
-    by_id = papers.select("id", "title", "abstract", *carried).repartition("id")
-    key = ["id", *carried, "doc_length"]
-    words = _weighted_words(by_id).select(
+def _unfolded(words: DataFrame, columns: list[str]) -> DataFrame:
+    key = [*columns, "doc_length"]
+    rows = words.select(
         *key, F.size("_tw").alias("_titles"), F.posexplode(F.concat("_tw", "_aw")).alias("_pos", "term"))
     from_title = F.col("_pos") < F.col("_titles")
-    # The carried columns depend on the id; as keys they keep the aggregation hash-based.
-    return words.groupBy(*key, "term").agg(
+    # The other columns depend on the id; as keys they keep the aggregation hash-based. A paper's words are
+    # counted in the task that reads it, so what is shuffled is one row for each (term, paper), not the texts.
+    return rows.groupBy(*key, "term").agg(
         F.sum(F.when(from_title, fixed.TITLE_WEIGHT).otherwise(1)).cast("int").alias("tf"),
         F.bool_or(from_title).alias("in_title"))
 
 
+def postings(papers: DataFrame, *carried: str) -> DataFrame:
+    """(term, id, tf, in_title, doc_length and carried columns) for every term of every paper."""
+    columns = ["id", *carried]
+    return _unfolded(_weighted_words(papers, columns), columns)
+
+
 def term_totals(posting_rows: DataFrame) -> DataFrame:
     """Document frequency and total weighted frequency of every term."""
     return posting_rows.groupBy("term").agg(
@@ -69,19 +69,17 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(papers: DataFrame, path: str, rules=fixed.TOPIC_RULES) -> None:
-    """Write the index of these papers. The layout follows from their number.
+def write_index(papers: DataFrame, path: str, rules=fixed.TOPIC_RULES, buckets: int = BUCKETS) -> None:
+    """Write the index of these papers.
 
-    A term that occurs in a third of all papers is split over ``spread`` tasks and files by id.
+    Each text is routed and tokenised once. Postings are rebalanced by bucket: the adaptive planner splits a
+    bucket whose terms occur in a large share of all papers over several files.
     """
-    spark, routed = papers.sparkSession, with_topics(papers, rules)
-    _weighted_words(routed).select(*DOC_COLUMNS, "doc_length").write.mode("overwrite").parquet(f"{path}/docs")
-    stored = spark.read.parquet(f"{path}/docs").count()
-    buckets = min(MAX_BUCKETS, 1 + stored // PAPERS_PER_BUCKET)
-    spread = 1 + max(stored // PAPERS_PER_FILE, spark.sparkContext.defaultParallelism // buckets)
-    placed = postings(routed, *FILTER_COLUMNS).withColumn("bucket", _bucket(F.col("term"), buckets))
-    (placed.repartition(buckets * spread, "bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
-     .sortWithinPartitions("bucket", "term", "id")
+    spark = papers.sparkSession
+    words = materialise(_weighted_words(with_topics(papers, rules), DOC_COLUMNS))
+    words.drop("_tw", "_aw").write.mode("overwrite").parquet(f"{path}/docs")
+    placed = _unfolded(words, ["id", *FILTER_COLUMNS]).withColumn("bucket", _bucket(F.col("term"), buckets))
+    (placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(
         f"{path}/layout")

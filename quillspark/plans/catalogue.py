@@ -275,11 +275,16 @@ def merge_repeat_counts(spark, sf):
     return merge.merge_counts(states)
 
 
+def ranked_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """The papers with their rank, newest first. Keys are ranked; the texts meet their ranks in one join."""
+    keys = with_position(papers(spark, sf).select("id", "published"), [], views.newest_first(), "rank")
+    return papers(spark, sf).join(keys.select("id", "rank"), "id")
+
+
 def scan_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The papers as a paged scan, newest first; ids are text digests, so equal texts repeat."""
-    placed = with_position(
-        papers(spark, sf).drop("in_latest_search"), [], views.newest_first(), "rank")
-    entries = placed.withColumns({
+    entries = ranked_papers(spark, sf).drop("in_latest_search")
+    entries = entries.withColumns({
         "offset": (F.floor(F.col("rank") / SCAN_PAGE) * SCAN_PAGE).cast("int"),
         "id": text.sha256(F.col("abstract")),
         "abstract": F.expr("substring(abstract, length(title) + 2)")})
@@ -322,7 +327,7 @@ def _xml(value: Column) -> Column:
 
 def feed_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The papers as Atom pages of at most ``SCAN_PAGE`` entries."""
-    placed = with_position(papers(spark, sf), [], views.newest_first(), "rank")
+    placed = ranked_papers(spark, sf)
     authors = F.array_join(F.transform("authors", lambda a: F.concat(
         F.lit("<author><name>"), _xml(a), F.lit("</name></author>"))), "")
     terms = F.array_join(F.transform(F.reverse("categories"), lambda t: F.concat(
@@ -466,7 +471,7 @@ def html_chunk_rows(spark, sf):
 
 def stream_merge(spark, sf):
     from quillspark.streaming.merge_stream import merge_events
-    return merge_events(spark, table(spark, sf, "events"), f"{sf.rstrip('/')}/events.parquet")
+    return merge_events(spark, table(spark, sf, "events"))
 
 
 def score_display(spark, sf):

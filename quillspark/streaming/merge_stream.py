@@ -94,11 +94,16 @@ def run_page_merge(spark: SparkSession, folder: str, root: str) -> DataFrame:
     return store.papers()
 
 
-def merge_events(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:
-    """The last event of every user, merged from a stream over the landed event files."""
-    folder, name = path.rsplit("/", 1)
-    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", name).parquet(folder))
+def merge_events(spark: SparkSession, events: DataFrame, batches: int = 4) -> DataFrame:
+    """The last event of every user, merged from a stream of several batches.
+
+    The events land in files by a hash of their id, one file a batch, so a user's events are spread over the
+    batches and most batches hold events that are older than what is stored.
+    """
+    landed = f"{scratch_root(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(batches))).repartition(batches, "part").drop(
+        "part").write.parquet(landed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     records = stream.select(
         F.col("user_id").cast("string").alias("id"), F.lit(1).alias("version"),
         F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("#"),
