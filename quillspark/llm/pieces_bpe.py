@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,11 +121,17 @@ class PieceModel:
         return data.decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def _loaded(model: str) -> tuple[PieceModel, UnitCache]:
+    """One for each worker process, which keeps it from task to task."""
+    vocabulary = PieceModel(model)
+    return vocabulary, UnitCache(vocabulary.checked)
+
+
 def _encode(model: str, at: int):
     """Adds ids and decoded to each row; column ``at`` is the text."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = PieceModel(model)
-        cache = UnitCache(vocabulary.checked)
+        vocabulary, cache = _loaded(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for cut in pieces([len(t) for t in texts], 500_000):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +33,29 @@ ORC_OPTIONS = {
 }
 
 
-def _encode(model: str, end_id: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+_AT_ONCE = 2_000
+
+
+@lru_cache(maxsize=1)
+def _cache(model: str) -> UnitCache:
+    """One for each worker process, which keeps it from task to task. Spark's tasks are the threads, so the library
+    starts none of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(model)
-        tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+    library = Tokenizer.from_file(model)
+    library.encode_special_tokens = True  # a special token's name in a text is ordinary text
 
-        def new(units: list[str]) -> list[bytes]:
-            return [np.array(e.ids, np.int32).tobytes()
-                    for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def encode(units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for i in range(0, len(units), _AT_ONCE)
+                for e in library.encode_batch_fast(units[i:i + _AT_ONCE], add_special_tokens=False)]
 
-        cache, end = UnitCache(new), np.int32(end_id).tobytes()
+    return UnitCache(encode)
+
+
+def _encode(model: str, end_id: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, end = _cache(model), np.int32(end_id).tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for cut in pieces([len(t) for t in texts]):

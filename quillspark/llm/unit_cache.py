@@ -9,23 +9,27 @@ MOST_UNITS, LONGEST_UNIT = 400_000, 48
 
 
 class UnitCache:
-    """encode: gives the values of several new units at once. The cache is emptied when it is full."""
+    """encode: gives the values of several new units at once. When half of the room is used, what was not asked for
+    since the last such moment is forgotten, so common units stay."""
 
     def __init__(self, encode: Callable[[list[str]], Sequence], most: int = MOST_UNITS):
-        self.encode, self.most, self.known = encode, most, {}
+        self.encode, self.most, self.known, self.older = encode, most, {}, {}
 
     def values(self, units: list[list[str]]) -> list[list]:
         """The value of every unit in every list."""
-        known = self.known
-        new = list(set().union(*units).difference(known))
-        long = {}
-        if new:
-            for unit, value in zip(new, self.encode(new)):
-                (known if len(unit) <= LONGEST_UNIT else long)[unit] = value
-        if long:
-            out = [[known[u] if u in known else long[u] for u in own] for own in units]
-        else:
-            out = [list(map(known.__getitem__, own)) for own in units]
-        if len(known) > self.most:
-            known.clear()
+        known, older = self.known, self.older
+        out = [list(map(known.get, own)) for own in units]
+        holes = [(own, found, [i for i, v in enumerate(found) if v is None])
+                 for own, found in zip(units, out) if None in found]
+        if holes:
+            missing = {own[i] for own, _, at in holes for i in at}
+            fresh = {u: older[u] for u in missing if u in older}
+            new = list(missing.difference(fresh))
+            fresh.update(zip(new, self.encode(new)))
+            for own, found, at in holes:
+                for i in at:
+                    found[i] = fresh[own[i]]
+            known.update((u, v) for u, v in fresh.items() if len(u) <= LONGEST_UNIT)
+            if len(known) > self.most // 2:
+                self.known, self.older = {}, known
         return out
