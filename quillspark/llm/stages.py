@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import byte_network, mixing, pieces_bpe, simhash, substring_dedup
+from quillspark.llm import byte_network, mixing, near_copies, pieces_bpe, substring_dedup
 from quillspark.llm.common import load
 from quillspark.llm.queries import ACCEPT, MIX_PATH, mix_weights, tokenizer_file, with_domain
 from quillspark.session import materialise
@@ -34,9 +34,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id; of a row that comes twice, one."""
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document with the least id; of a
+    row that comes twice, one."""
     rows = _packed(docs)
-    classes = materialise(simhash.near_classes(rows, key="row"))
+    classes = materialise(near_copies.classes(rows, key="row"))
     others = classes.filter(F.col("row") != F.col("component_id")).select("row").distinct()
     kept = rows.join(others, "row", "left_anti")
     twice = materialise(classes.groupBy("row").count().filter("count > 1").select("row"))
