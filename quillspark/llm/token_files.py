@@ -44,7 +44,6 @@ def _cache(model: str) -> UnitCache:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(model)
-    library.encode_special_tokens = True  # a special token's name in a text is ordinary text
 
     def encode(units: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for i in range(0, len(units), _AT_ONCE)
