@@ -124,3 +124,46 @@ SELECT doc_id, {names}, n_tokens, leaf_tokens, quota,
     CAST(epochs + CASE WHEN begins < quota - epochs * leaf_tokens THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM running
 """
+
+
+FILTER_AUDIT = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+judged AS (
+  SELECT doc_id, part, [
+    len(w) < 200,
+    100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS failed FROM split),
+marked AS (
+  SELECT part, failed, coalesce(max(l.quality) = 1, false) AS good, coalesce(max(l.toxic) = 1, false) AS toxic
+  FROM (SELECT row_number() OVER () AS n, * FROM judged) j LEFT JOIN labels l USING (doc_id) GROUP BY n, part, failed),
+cells AS (
+  SELECT part, failed, count(*) AS documents, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM marked GROUP BY part, failed),
+letters AS (SELECT unnest(string_split('ABCDE', '')) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+seen AS (
+  SELECT part, filter_order, step, documents, good, toxic, failed,
+         failed[instr('ABCDE', substr(filter_order, step, 1))] AS own,
+         len(list_filter(range(1, step), lambda i: failed[instr('ABCDE', substr(filter_order, i, 1))])) > 0 AS gone
+  FROM cells, steps),
+counted AS (
+  SELECT part, filter_order, step,
+         coalesce(sum(documents) FILTER (NOT own AND NOT gone), 0) AS kept,
+         coalesce(sum(documents) FILTER (own AND NOT gone), 0) AS removed,
+         coalesce(sum(documents) FILTER (own AND gone), 0) AS redundant,
+         coalesce(sum(documents) FILTER (own AND len(list_filter(failed, lambda f: f)) = 1), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (own AND NOT gone), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (own AND NOT gone), 0) AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley
+FROM counted"""

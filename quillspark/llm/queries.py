@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import (
-    byte_network, labelled, mixing, oracle, pieces_bpe, sharding, simhash, substring_dedup, token_files, toxicity,
+    byte_network, filter_audit, labelled, mixing, oracle, pieces_bpe, sharding, simhash, substring_dedup, token_files, toxicity,
     weak_rules, winnowing)
 from quillspark.llm.common import load
 
@@ -102,6 +102,10 @@ def piece_ids(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def audited(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_super_k_mers": substring,
     "op2_weak_rules": rules,
@@ -113,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_orc_tokens": tokens,
     "op9_piece_agenda": piece_ids,
     "op10_byte_network": quality,
+    "op11_byte_transducer": audited,
 }
 
 ORACLE: dict[str, str] = {
@@ -120,4 +125,5 @@ ORACLE: dict[str, str] = {
     "op2_weak_rules": oracle.RULES,
     "op6_hierarchical_mix": oracle.mixture(MIX_PATH, DOMAINS, MIX_WEIGHTS, MIX["budget_share"], MIX["max_epochs"],
                                            MIX["seed"]),
+    "op11_byte_transducer": oracle.FILTER_AUDIT,
 }
