@@ -167,3 +167,57 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley
 FROM counted"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _digits(text: str) -> str:
+    """The list of values of the hex digits of a text."""
+    return (f"list_transform(range(1, length({text}) + 1), "
+            f"lambda k: CAST(instr('0123456789abcdef', lower(substr({text}, k, 1))) - 1 AS BIGINT))")
+
+
+def importance(buckets: int, percent: int, least_words: int, seed: str) -> str:
+    """Runs of one word; the checksum is taken byte by byte, for each distinct word."""
+    found = (f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+    bytes_ = "list_transform(range(1, len(h) // 2 + 1), lambda k: h[2 * k - 1] * 16 + h[2 * k])"
+    step = "xor(c >> 8, steps[(xor(c, b) & 255) + 1])"
+    return f"""
+WITH bit_steps AS (
+  SELECT list(v ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+docs AS (SELECT row_number() OVER () AS n, doc_id, {found} AS ws FROM documents),
+source_words AS (SELECT n, unnest(ws) AS w FROM docs),
+target_words AS (SELECT unnest({found}) AS w FROM benchmark),
+vocabulary AS (SELECT w, {_digits('hex(w)')} AS h FROM (
+  SELECT w FROM source_words UNION SELECT w FROM target_words)),
+sums AS (
+  SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, b: {step}), 4294967295)
+         % {buckets} AS b
+  FROM vocabulary, bit_steps),
+s AS (SELECT b, count(*) AS s FROM source_words JOIN sums USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM target_words JOIN sums USING (w) GROUP BY b),
+gained AS (
+  SELECT w, CAST(floor(1000 * ln(
+    (coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + {buckets})::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT sum(t) FROM t) + {buckets})::DOUBLE))) AS BIGINT) AS gain
+  FROM sums LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+weights AS (SELECT n, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+            FROM source_words JOIN gained USING (w) GROUP BY n),
+drawn AS (
+  SELECT n, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         list_reduce({_digits(f"substr(sha256('{seed}:' || doc_id), 1, 8)")}, lambda a, b: a * 16 + b) AS h
+  FROM docs LEFT JOIN weights USING (n)),
+scored AS (
+  SELECT doc_id, n_features, weight,
+         weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score,
+         n_features >= {least_words} AS usable FROM drawn),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY usable ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (usable) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN usable AND place <= {percent} * n // 100 THEN place END AS rank
+FROM placed"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import (
-    byte_network, filter_audit, labelled, mixing, oracle, pieces_bpe, sharding, simhash, substring_dedup, token_files, toxicity,
+    byte_network, filter_audit, importance, labelled, mixing, oracle, pieces_bpe, sharding, simhash, substring_dedup, token_files, toxicity,
     weak_rules, winnowing)
 from quillspark.llm.common import load
 
@@ -106,6 +106,10 @@ def audited(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
 
+def towards_benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resampled(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_super_k_mers": substring,
     "op2_weak_rules": rules,
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_agenda": piece_ids,
     "op10_byte_network": quality,
     "op11_byte_transducer": audited,
+    "op12_head_tail_vocabulary": towards_benchmark,
 }
 
 ORACLE: dict[str, str] = {
@@ -126,4 +131,6 @@ ORACLE: dict[str, str] = {
     "op6_hierarchical_mix": oracle.mixture(MIX_PATH, DOMAINS, MIX_WEIGHTS, MIX["budget_share"], MIX["max_epochs"],
                                            MIX["seed"]),
     "op11_byte_transducer": oracle.FILTER_AUDIT,
+    "op12_head_tail_vocabulary": oracle.importance(importance.BUCKETS, importance.PERCENT, importance.LEAST_WORDS,
+                                                   importance.SEED),
 }
