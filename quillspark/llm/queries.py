@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import (
-    byte_network, filter_audit, importance, labelled, mixing, oracle, pieces_bpe, sharding, simhash, substring_dedup, token_files, toxicity,
-    weak_rules, winnowing)
+    byte_network, filter_audit, importance, labelled, mixing, oracle, pieces_bpe, secret_spans, sharding, simhash,
+    substring_dedup, token_files, toxicity, weak_rules, winnowing)
 from quillspark.llm.common import load
 
 SHARDS = 24
@@ -110,6 +110,10 @@ def towards_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resampled(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
 
 
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_spans.secret_spans(load(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_super_k_mers": substring,
     "op2_weak_rules": rules,
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_network": quality,
     "op11_byte_transducer": audited,
     "op12_head_tail_vocabulary": towards_benchmark,
+    "op13_markov_secrets": secrets,
 }
 
 ORACLE: dict[str, str] = {
