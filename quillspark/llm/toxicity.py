@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -51,29 +53,64 @@ def _feature(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int)
     return ((salted * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
-def swapped(features: np.ndarray, terms: list[np.ndarray], turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """A text's features with one identity term and with another in its place. A text without a term gets
-    one put in, so that each labelled text is one with a mention of a group."""
-    present = next((i for i, t in enumerate(terms) if t[0] in features), None)
-    one = turn % len(terms) if present is None else present
-    two = (one + 1 + turn % (len(terms) - 1)) % len(terms)
-    bare = features if present is None else np.setdiff1d(features, terms[one])
-    return np.union1d(bare, terms[one]), np.union1d(bare, terms[two])
+def _mention(terms: Sequence[bytes]) -> re.Pattern:
+    """Any of the terms as a whole word of a lower-cased text."""
+    return re.compile(rb"(?<![a-z\x80-\xff])(?:" + b"|".join(map(re.escape, terms)) + rb")(?![a-z\x80-\xff])")
+
+
+def counterfactuals(text: bytes, terms: Sequence[str]) -> list[tuple[bytes, bytes]]:
+    """Pairs of texts that should score alike. Each identity term that the text holds as a whole word is swapped for
+    another one, wherever it stands; a text without any gets one put in, and that one swapped. Which other term it is,
+    follows from the text."""
+    words, text = [t.encode().lower() for t in terms], text.lower()
+    if not words:
+        return []
+    turn = crc32(text)
+    other = {w: words[(i + 1 + turn % max(len(words) - 1, 1)) % len(words)] for i, w in enumerate(words)}
+    present = sorted(set(_mention(words).findall(text)))
+    if present:
+        return [(text, _mention([w]).sub(lambda _: other[w], text)) for w in present]
+    one = words[turn % len(words)]
+    put = text + b" " + one
+    return [(text, put), (put, text + b" " + other[one])]
+
+
+def differences(text: bytes, terms: Sequence[str]) -> list[np.ndarray]:
+    """For each pair, what the second text's features have more (f + 1) and less (-f - 1) than the first's."""
+    out = []
+    for one, two in counterfactuals(text, terms):
+        before, after = features_of([one])[1], features_of([two])[1]
+        out.append(np.concatenate([np.setdiff1d(after, before) + 1, -1 - np.setdiff1d(before, after)]))
+    return out
 
 
 class _Rows:
-    """Sparse 0/1 rows."""
+    """Sparse rows with the values 1, or the signs that are given."""
 
-    def __init__(self, rows: Sequence[np.ndarray]):
+    def __init__(self, rows: Sequence[np.ndarray], signs: Sequence[np.ndarray] | None = None):
         self.columns = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int32)
+        self.signs = None if signs is None else np.concatenate([*signs, np.zeros(0)])
         self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
         self.count = len(rows)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.columns], self.count)
+        own = weights[self.columns]
+        return np.bincount(self.row, own if self.signs is None else own * self.signs, self.count)
 
     def back(self, values: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.columns, values[self.row], width)
+        own = values[self.row]
+        return np.bincount(self.columns, own if self.signs is None else own * self.signs, width)
+
+
+def loss_and_slopes(weights: np.ndarray, offset: float, x: _Rows, labels: np.ndarray, pairs: _Rows,
+                    fairness: float) -> tuple[float, np.ndarray, float]:
+    """The mean logistic loss, plus ``fairness`` times the squared changes of the log-odds over the pairs, for each
+    row; with its slopes by weight and offset."""
+    logits, change, n = x.times(weights) + offset, pairs.times(weights), max(x.count, 1)
+    p = 1 / (1 + np.exp(-logits))
+    loss = np.mean(np.logaddexp(0, logits) - labels * logits) + fairness * np.sum(change ** 2) / n
+    slopes = x.back((p - labels) / n, len(weights)) + pairs.back(2 * fairness * change / n, len(weights))
+    return float(loss), slopes, float(np.mean(p - labels))
 
 
 def rescaled(logits: np.ndarray, labels: np.ndarray, share: float, steps: int = 25,
@@ -92,13 +129,12 @@ def rescaled(logits: np.ndarray, labels: np.ndarray, share: float, steps: int =
     return float(at[0]), float(at[1])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, terms: Sequence[str] = IDENTITY_TERMS, steps: int = 120,
+def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: Sequence[np.ndarray], steps: int = 120,
         sparse: float = 6e-4, fairness: float = 1.0, share: float | None = None) -> tuple[np.ndarray, float]:
     """Weights by feature and the offset, for rows of which ``share`` have label 1 (the sample's, if None).
 
-    Minimises the logistic loss, plus ``sparse`` times the weights' absolute values, plus ``fairness`` times
-    the mean squared change of the log-odds when an identity term is swapped for another or put in, by
-    accelerated proximal gradient steps. One label only, or no row, gives no weights.
+    Minimises loss_and_slopes, plus ``sparse`` times the weights' absolute values, by accelerated proximal gradient
+    steps. pairs: the ``differences`` of the rows' texts. One label only, or no row, gives no weights.
     """
     width = 1 << FEATURE_BITS
     own_share = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -106,53 +142,51 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: Sequence[str] = IDENT
     offset = float(np.log(own_share / (1 - own_share)))
     if not 0 < labels.sum() < len(labels):
         return np.zeros(width, np.float32), float(np.log(share / (1 - share)))
-    own_terms = [features_of([t.encode()])[1] for t in terms]
-    used, counts = np.unique(np.concatenate([*rows, *own_terms]), return_counts=True)
-    # A feature of one text can only learn that text by heart; identity terms stay to be held down.
-    used = used[(counts > 1) | np.isin(used, np.concatenate(own_terms))]
-    compact = [np.searchsorted(used, r[np.isin(r, used)]) for r in rows]
-    short_terms = [np.searchsorted(used, t) for t in own_terms]
-    pairs = [swapped(r, short_terms, i) for i, r in enumerate(compact)]
-    x, a, b = _Rows(compact), _Rows([p[0] for p in pairs]), _Rows([p[1] for p in pairs])
-    n, size = len(rows), len(used)
-    weights = np.zeros(size)
+    # A feature of one text can only learn that text by heart; those of identity terms stay to be held down.
+    useful = np.bincount(np.concatenate(rows), minlength=width) > 1
+    useful[np.abs(np.concatenate([*pairs, np.zeros(0, np.int64)])).astype(np.int64) - 1] = True
+    used = np.flatnonzero(useful)
+    place = np.where(useful, np.cumsum(useful) - 1, -1)
+    compact = [own[own >= 0] for own in (place[r] for r in rows)]
+    x = _Rows(compact)
+    change = _Rows([place[np.abs(d) - 1] for d in pairs], [np.sign(d).astype(np.float64) for d in pairs])
+    weights = np.zeros(len(used))
     ahead, momentum, rate = weights, 1.0, 8.0 / np.sqrt(np.mean([len(r) for r in compact]) + 1)
     last = np.inf
     for _ in range(steps):
-        logits = x.times(ahead) + offset
-        p = 1 / (1 + np.exp(-logits))
-        swap, put = a.times(ahead) - b.times(ahead), a.times(ahead) - x.times(ahead)
-        gradient = x.back((p - labels) / n - 2 * fairness * put / n, size)
-        gradient += a.back(2 * fairness * (swap + put) / n, size) - b.back(2 * fairness * swap / n, size)
-        loss = np.mean(np.logaddexp(0, logits) - labels * logits) + sparse * np.abs(ahead).sum() + fairness * (
-            np.mean(swap ** 2) + np.mean(put ** 2))
+        loss, slopes, tilt = loss_and_slopes(ahead, offset, x, labels, change, fairness)
+        loss += sparse * np.abs(ahead).sum()
         if loss > last * 1.2:
             rate, ahead, momentum = rate / 2, weights, 1.0
             last = np.inf
             continue
         last = min(last, loss)
-        step = ahead - rate * gradient
+        step = ahead - rate * slopes
         new = np.sign(step) * np.maximum(np.abs(step) - rate * sparse, 0)
         following = (1 + np.sqrt(1 + 4 * momentum ** 2)) / 2
         ahead = new + (momentum - 1) / following * (new - weights)
         weights, momentum = new, following
-        offset -= 2.0 * float(np.mean(p - labels))
+        offset -= 2.0 * tilt
     scale, shift = rescaled(x.times(weights) + offset, labels, share)
     full = np.zeros(width, np.float32)
     full[used] = scale * weights
     return full, scale * offset + shift
 
 
-def _list_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = text_bytes(batch.column(2))
-        for cut in pieces([len(t) for t in texts]):
-            row, feature = features_of(texts[cut])
-            ends = np.searchsorted(row, np.arange(cut.stop - cut.start + 1)).astype(np.int32)
-            own = batch.slice(cut.start, cut.stop - cut.start)
-            yield pa.RecordBatch.from_arrays(
-                [own.column(0), own.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))],
-                names=["_key", "label", "features"])
+def _list_features(terms: Sequence[str]):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column(2))
+            for cut in pieces([len(t) for t in texts]):
+                row, feature = features_of(texts[cut])
+                ends = np.searchsorted(row, np.arange(cut.stop - cut.start + 1)).astype(np.int32)
+                own = batch.slice(cut.start, cut.stop - cut.start)
+                pairs = [[d.tolist() for d in differences(t, terms)] for t in texts[cut]]
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(1),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32))),
+                     pa.array(pairs, pa.list_(pa.list_(pa.int32())))], names=["_key", "label", "features", "pairs"])
+    return emit
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, folds: int = 4,
@@ -166,14 +200,16 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     python_ready(docs.sparkSession)
     rows = training_rows(docs, labels, label, most, folds, held_out, key, text)
     kind = docs.schema[key].dataType.simpleString()
-    sample = rows.mapInArrow(_list_features, f"_key {kind}, label int, features array<int>").toArrow()
+    sample = rows.mapInArrow(
+        _list_features(terms), f"_key {kind}, label int, features array<int>, pairs array<array<int>>").toArrow()
     order = np.argsort(np.array(sample["_key"].to_pylist(), dtype=object), kind="stable")
     lists = sample["features"].combine_chunks() if len(order) else pa.array([], pa.list_(pa.int32()))
     ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
     marks = np.array(sample["label"].to_pylist(), np.float64)[order]
     known = labels.filter(F.col(label).isin(0, 1) & (fold(key, folds) != held_out))
     ones, every = known.agg(F.sum(label), F.count(label)).first()
-    weights, offset = fit([flat[ends[i]:ends[i + 1]] for i in order], marks, terms,
+    pairs = [np.array(d, np.int64) for own in sample["pairs"].to_pylist() for d in own]
+    weights, offset = fit([flat[ends[i]:ends[i + 1]] for i in order], marks, pairs,
                           share=((ones or 0) + 0.5) / (every + 1))
     at = np.flatnonzero(weights)
     return at, weights[at], offset
