@@ -24,7 +24,7 @@ def _judged(paired: DataFrame, fields: list[str], known: list[str]) -> DataFrame
     return paired.withColumns({"state": state, "_keep": keep_old})
 
 
-def _outcome(fields: list[str], known: list[str], stamp: str) -> list[Column]:
+def _outcome(fields: list[str], known: list[str], stamp: str, partial: bool = False) -> list[Column]:
     def old(name: str) -> Column:
         return F.col(f"o.{name}") if name in known else F.lit(None)
     unseen = F.col("n").isNull()
@@ -35,11 +35,14 @@ def _outcome(fields: list[str], known: list[str], stamp: str) -> list[Column]:
     return ["id", *chosen, *kept,
             F.coalesce("o.first_seen", F.lit(stamp)).alias("first_seen"),
             F.when(unseen, F.col("o.last_seen")).otherwise(F.lit(stamp)).alias("last_seen"),
-            (~unseen).alias("in_latest_search"), "state"]
+            F.when(unseen, old("in_latest_search") if partial else False).otherwise(True).alias("in_latest_search"),
+            "state"]
 
 
-def merge(old: DataFrame, incoming: DataFrame, stamp: str, repeats: str | None = None) -> DataFrame:
-    """Merge a complete scan: nothing is removed, and an older revision never replaces a newer one.
+def merge(old: DataFrame, incoming: DataFrame, stamp: str, repeats: str | None = None,
+          partial: bool = False) -> DataFrame:
+    """Merge a complete scan: nothing is removed, and an older revision never replaces a newer one. With ``partial`` the
+    incoming rows are a part of a scan only, so stored rows that they do not mention keep their in_latest_search.
 
     The result is the new catalog plus a ``state`` column. Stored columns that the scan lacks stay with the
     stored rows that stay. Rows are matched by one full outer join on
@@ -51,7 +54,7 @@ def merge(old: DataFrame, incoming: DataFrame, stamp: str, repeats: str | None =
     fields = [c for c in incoming.columns if c != "id"]
     known = old.columns
     paired = _packed(incoming, "n").join(_packed(old, "o"), "id", "full_outer")
-    return _judged(paired, fields, known).select(*_outcome(fields, known, stamp))
+    return _judged(paired, fields, known).select(*_outcome(fields, known, stamp, partial))
 
 
 def _packed(df: DataFrame, name: str, *extra: str) -> DataFrame:

@@ -533,9 +533,12 @@ steps AS (
 SELECT page_id, pos, label AS sections, lead || piece AS text FROM steps""",
         "stream_merge": """
 SELECT CAST(user_id AS VARCHAR) AS id, 1 AS version, max(stamp) AS updated,
-       arg_max(event_type, stamp) AS event_type, arg_max(value, stamp) AS value
+       arg_max(event_type, stamp) AS event_type, arg_max(value, stamp) AS value, true AS in_latest_search
 FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '#' || lpad(CAST(event_id AS VARCHAR), 20, '0') AS stamp
-      FROM events) GROUP BY user_id""",
+      FROM events) GROUP BY user_id
+UNION ALL
+SELECT 'stored-' || user_id, 1, '', 'none', NULL, user_id % 2 = 0
+FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 5 = 0)""",
     }
     return sql
 

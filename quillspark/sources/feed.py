@@ -23,7 +23,9 @@ XML_OPTIONS = {"ignoreNamespace": "true", "attributePrefix": "_", "mode": "PERMI
 FEED_ROOT = (r'\A\s*(<\?[^>]*\?>\s*|<!--(?s:.*?)-->\s*)*<([A-Za-z_][\w.-]*:)?feed\b[^>]*'
              r'xmlns(:[\w.-]+)?\s*=\s*["\']http://www\.w3\.org/2005/Atom["\']')
 
-FEED_END = r"</([A-Za-z_][\w.-]*:)?feed\s*>\s*(<!--(?s:.*?)-->\s*)*\z"
+FEED_CLOSED = r"</([A-Za-z_][\w.-]*:)?feed\s*>"
+FEED_END = FEED_CLOSED + r"\s*(<!--(?s:.*?)-->\s*)*\z"
+NO_MARKUP = r"<!--(?s:.*?)-->|<!\[CDATA\[(?s:.*?)\]\]>"
 
 
 def _paper(entry: Column) -> Column:
@@ -57,7 +59,9 @@ def parse_pages(raw_pages: DataFrame) -> DataFrame:
         F.col("feed.totalResults").try_cast("int").alias("total"),
         F.col("feed.startIndex").try_cast("int").alias("start"),
         F.coalesce("feed.entry", F.array()).alias("entry"),
-        F.when(~F.col("raw").rlike(FEED_ROOT) | ~F.col("raw").rlike(FEED_END) 
+        F.when(~F.col("raw").rlike(FEED_ROOT) | ~F.col("raw").rlike(FEED_END)
+               # A second document element would follow the end of the first.
+               | (F.regexp_count(F.regexp_replace("raw", NO_MARKUP, ""), F.lit(FEED_CLOSED)) != 1)
                | F.col("feed").isNull() | F.col("feed.malformed").isNotNull(),
                "Response is not an Atom feed")
         .when(F.size(error_entry) > 0, F.concat(F.lit("API error: "), F.coalesce(

@@ -50,7 +50,7 @@ def raw_pages(spark: SparkSession, folder: str, before: int | None = None) -> Da
 
 def raw_page_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same pages as a stream: each landed file is delivered once."""
-    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.xml").text(folder)
+    files = spark.readStream.text(folder, wholetext=True, pathGlobFilter="*.xml")
     return files.select(
         F.regexp_extract(_file_path(), r"(\d+)\.xml\z", 1).cast("int").alias("offset"),
         F.col("value").alias("raw"))

@@ -15,10 +15,11 @@ from quillspark.sources.library import raw_page_stream
 
 
 def latest_revisions(records: DataFrame) -> DataFrame:
-    """One row per id, the highest (version, updated); combined on the map side, so hot ids are cheap."""
+    """One row per id, the highest (version, updated), and of equal ones the highest hash of all columns, so that a batch
+    gives the same whatever order its rows come in; combined on the map side, so hot ids are cheap."""
     columns = [c for c in records.columns if c != "id"]
     best = records.groupBy("id").agg(
-        F.max_by(F.struct(*columns), F.struct("version", "updated")).alias("r"))
+        F.max_by(F.struct(*columns), F.struct("version", "updated", F.xxhash64(*columns))).alias("r"))
     return best.select("id", "r.*")
 
 
@@ -44,12 +45,11 @@ class StreamMerger:
         stream = self.stream()
         if self.store.last_batch(stream) >= batch:
             return
-        target, stamp = self.store.generation() + 1, f"batch {batch:08d}"
-        merged = merge(self.store.papers(), latest_revisions(records), stamp).drop("state")
-        # A micro-batch is only a part of a scan: records it does not mention are still current.
-        self.store.write(merged.withColumn("in_latest_search", F.lit(True)), target)
-        self.store.commit(target, last_sync=stamp, stream=stream, batch=batch)
-        self.store.prune()
+        stamp = f"batch {batch:08d}"
+        latest = latest_revisions(records)
+        # A micro-batch is a part of a scan only: rows it does not mention stay as they are, those found gone as well.
+        self.store.change(lambda papers: merge(papers, latest, stamp, partial=True).drop("state"),
+                          last_sync=stamp, stream=stream, batch=batch)
 
 
 class PageMerger:
@@ -78,10 +78,13 @@ def _drain(stream: DataFrame, sink, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def run_merge(records: DataFrame, root: str) -> DataFrame:
-    """Drain a streaming DataFrame of records into the catalog under ``root``; returns its state."""
+def run_merge(records: DataFrame, root: str, before: DataFrame | None = None) -> DataFrame:
+    """Drain a streaming DataFrame of records into the catalog under ``root``; returns its state. ``before`` is the
+    catalog that the stream finds, if there is none yet."""
     seen = T.StructType(records.schema.fields + SEEN_FIELDS)
     store = CatalogStore(records.sparkSession, f"{root}/catalog", seen)
+    if before is not None and store.latest() is None:
+        store.change(lambda _: before.select(*seen.names))
     _drain(records, StreamMerger(store, f"{root}/checkpoint"), f"{root}/checkpoint")
     return store.papers()
 
@@ -95,19 +98,23 @@ def run_page_merge(spark: SparkSession, folder: str, root: str) -> DataFrame:
 
 
 def merge_events(spark: SparkSession, events: DataFrame, batches: int = 4) -> DataFrame:
-    """The last event of every user, merged from a stream of several batches.
+    """The last event of every user, merged by a stream of about ``batches`` batches into a catalog that holds rows which
+    no event mentions: some current, some that a scan found gone.
 
-    The events land in files by a hash of their id, one file a batch, so a user's events are spread over the
+    The events land in files by a hash of their id, several files a batch, so a user's events are spread over the
     batches and most batches hold events that are older than what is stored.
     """
-    landed = f"{scratch_root(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
-    events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(batches))).repartition(batches, "part").drop(
-        "part").write.parquet(landed)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    root = f"{scratch_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    events.repartition(files, F.xxhash64("event_id")).write.parquet(f"{root}/landed")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(f"{root}/landed")
     records = stream.select(
         F.col("user_id").cast("string").alias("id"), F.lit(1).alias("version"),
         F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("#"),
                  F.lpad(F.col("event_id").cast("string"), 20, "0")).alias("updated"),
         "event_type", "value")
-    root = f"{scratch_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return run_merge(records, root).select("id", "version", "updated", "event_type", "value")
+    stored = events.select("user_id").distinct().filter("user_id % 5 = 0").select(
+        F.concat(F.lit("stored-"), F.col("user_id").cast("string")).alias("id"), F.lit(1).alias("version"),
+        F.lit("").alias("updated"), F.lit("none").alias("event_type"), F.lit(None).cast(events.schema["value"].dataType).alias("value"),
+        F.lit("s0").alias("first_seen"), F.lit("s0").alias("last_seen"), (F.col("user_id") % 2 == 0).alias("in_latest_search"))
+    return run_merge(records, root, stored).select("id", "version", "updated", "event_type", "value", "in_latest_search")

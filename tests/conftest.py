@@ -36,13 +36,13 @@ def library(spark, tmp_path):
     return Library.open(spark, tmp_path)
 
 
-def make_paper(number="2401.00001", version=1, title="Ontology matching with large models",
+def make_paper(number="1712.03411", version=1, title="Ontology matching with large models",
                abstract="We study ontology matching and entity linking.", **changes):
     """A catalog row with every field; ``changes`` overrides any of them."""
     row = dict.fromkeys(PAPER.names, "")
-    row.update(id=number, version=version, title=title, abstract=abstract, authors=["Ada One"],
-               categories=["cs.AI", "stat.ML"], primary_category="cs.AI",
-               published="2024-01-01T00:00:00Z", updated=f"2024-01-{version:02d}T00:00:00Z", year_month="2024-01")
+    row.update(id=number, version=version, title=title, abstract=abstract, authors=["Mira Sol"],
+               categories=["cs.DB", "stat.CO"], primary_category="cs.DB",
+               published="2017-12-04T00:00:00Z", updated=f"2017-12-{version + 3:02d}T00:00:00Z", year_month="2017-12")
     for kind in ("abs", "pdf"):
         row[f"{kind}_url"] = f"https://arxiv.org/{kind}/{number}v{version}"
     return {**row, **changes}

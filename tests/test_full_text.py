@@ -132,17 +132,17 @@ def test_cache_survives_damage_without_a_second_download(stocked):
     assert is_valid(stocked, "cs/9901001") and len(client.urls) == 1
     assert fetch_plan.read(stocked, "cs/9901001", 2)
     with pytest.raises(ValueError, match="not cached"):
-        fetch_plan.read(stocked, "2401.00001")
+        fetch_plan.read(stocked, "1712.03411")
 
 
 def test_new_version_has_no_cache(stocked):
-    fetch(stocked, ScriptedClient(article()), ["2401.00001"])
+    fetch(stocked, ScriptedClient(article()), ["1712.03411"])
     newer = [make_paper(version=2), make_paper("cs/9901001")]
     sync.update(stocked, ScriptedClient(make_feed(newer)), progress=lambda _: None)
     with pytest.raises(ValueError, match="not cached"):
-        fetch_plan.read(stocked, "2401.00001")
+        fetch_plan.read(stocked, "1712.03411")
     with pytest.raises(ValueError, match="v2"):
-        fetch_plan.read(stocked, "2401.00001v1")
+        fetch_plan.read(stocked, "1712.03411v1")
 
 
 def fake_pdf_udf(column):
@@ -154,7 +154,7 @@ def fake_pdf_udf(column):
 def test_missing_html_falls_back_to_pdf_but_denial_stops(stocked):
     client = ScriptedClient(FetchError("gone", 404), b"<article>too short</article>", b"%PDF-one", b"%PDF-two")
     outcome = fetch(stocked, client, [], "auto", pdf_udf=fake_pdf_udf)
-    assert sorted(outcome.cached) == ["2401.00001", "cs/9901001"] and not outcome.failures
+    assert sorted(outcome.cached) == ["1712.03411", "cs/9901001"] and not outcome.failures
     rows = files.manifests(stocked.spark, str(stocked.root)).collect()
     assert {r.manifest.format for r in rows} == {"pdf"}
     assert all("PDF fallback used" in r.manifest.warnings[0] for r in rows)
@@ -167,17 +167,17 @@ def test_denial_stops_further_requests_and_other_errors_do_not(stocked):
         fetch(stocked, client, [], "auto")
     assert len(client.urls) == 1
     outcome = fetch(stocked, ScriptedClient(FetchError("broken", 500), article()), [], "auto")
-    assert list(outcome.failures) == ["2401.00001"] and outcome.cached == ["cs/9901001"]
+    assert list(outcome.failures) == ["1712.03411"] and outcome.cached == ["cs/9901001"]
     with pytest.raises(ValueError):
-        fetch_plan.choose(stocked, ["2401.99999"], False)
+        fetch_plan.choose(stocked, ["1712.99999"], False)
 
 
 def test_pdf_reader_is_optional(stocked):
     if "pypdf" in sys.modules:
         pytest.skip("pypdf is installed")
     outcome = fetch(stocked, ScriptedClient(b"%PDF-x", b"no pdf"), [], "pdf")
-    assert set(outcome.failures) == {"2401.00001", "cs/9901001"}
-    assert (stocked.root / "papers/2401.00001/2401.00001v1/original.pdf").exists()
+    assert set(outcome.failures) == {"1712.03411", "cs/9901001"}
+    assert (stocked.root / "papers/1712.03411/1712.03411v1/original.pdf").exists()
 
 
 def test_empty_documents_are_never_valid(spark):

@@ -85,7 +85,7 @@ def test_joined_files_are_written_in_order_by_all_tasks(spark, tmp_path):
 
 
 def library_papers():
-    return [make_paper(f"2401.{n:05d}", title=f'Ontology matching "{n}" | <tag>, [x]', abstract=f"Text {n}\nline, two.",
+    return [make_paper(f"1712.{n:05d}", title=f'Ontology matching "{n}" | <tag>, [x]', abstract=f"Text {n}\nline, two.",
                        doi="10.1/<x>" if n == 3 else "", authors=["A & B", "C"],
                        published=f"20{20 + n}-0{n}-01T00:00:00Z", year_month=f"20{20 + n}-0{n}") for n in range(1, 6)]
 
@@ -93,7 +93,7 @@ def library_papers():
 def stored(library, papers):
     old = library.spark.createDataFrame([], CATALOG)
     merged = merge.merge(old, papers_df(library.spark, *papers), "stamp")
-    gone = F.when(F.col("id") == "2401.00002", False).otherwise(F.col("in_latest_search"))
+    gone = F.when(F.col("id") == "1712.03412", False).otherwise(F.col("in_latest_search"))
     library.store.write(merged.withColumn("in_latest_search", gone).drop("state"), 1)
     library.store.commit(1, "q", "stamp")
 
@@ -114,7 +114,7 @@ def test_build_writes_linked_views_and_a_readable_table(library):
     assert raw.startswith(b"\xef\xbb\xbf") and raw.count(b"\r\n") == 6
     with open(root / "index/catalog.csv", encoding="utf-8-sig", newline="") as stream:
         rows = list(csv.DictReader(stream))
-    assert [r["arxiv_id"] for r in rows] == [f"2401.{n:05d}" for n in (5, 4, 3, 2, 1)]
+    assert [r["arxiv_id"] for r in rows] == [f"1712.{n:05d}" for n in (5, 4, 3, 2, 1)]
     assert rows[0]["abstract"] == "Text 5\nline, two." and rows[3]["in_latest_search"] == "False"
 
 
@@ -131,8 +131,8 @@ def test_cards_read_back(library):
 def test_card_text(spark):
     paper = papers_df(spark, make_paper(doi="")).withColumn("in_latest_search", F.lit(None).cast("boolean"))
     card = views.cards(paper).first().content
-    assert card.startswith("# Ontology matching with large models\n\n- arXiv: [2401.00001v1](https://arxiv.org/abs/")
-    for line in ("- 作者: Ada One\n", "- 分类: cs.AI, stat.ML\n", "- 最近完整搜索中出现: True\n",
+    assert card.startswith("# Ontology matching with large models\n\n- arXiv: [1712.03411v1](https://arxiv.org/abs/")
+    for line in ("- 作者: Mira Sol\n", "- 分类: cs.DB, stat.CO\n", "- 最近完整搜索中出现: True\n",
                  "- 路由标签（关键词规则）: alignment\n", "- DOI: 未提供\n"):
         assert line in card
 
@@ -152,17 +152,17 @@ def test_command_line(library, spark, capsys):
     found = run("search", "ontology matching", "--limit", "2", "--abstracts").out
     assert found.count("card: cards/") == 2 and "Text 5" in found
     assert run("search", "ontology", "--year", "2023", "--topic", "alignment").out.count("card:") == 1
-    assert "No" not in run("show", "2401.00001", "2401.00002").out
-    shown = run("show", "2401.00001", "2401.00002", "--max-chars", "900").out
+    assert "No" not in run("show", "1712.03411", "1712.03412").out
+    shown = run("show", "1712.03411", "1712.03412", "--max-chars", "900").out
     assert shown.count("## 原始摘要") == 1 and "输出预算不足" in shown
-    assert "not in this catalog" in run("show", "2401.09999", code=1).err
+    assert "not in this catalog" in run("show", "1712.09999", code=1).err
     state = json.loads(run("status").out)
     assert state["papers_in_latest_search"] == 5 and state["index_state"]["catalog_sync"] == state["last_sync_utc"]
     body = b"<article><h1>T</h1><p>" + b"content " * 900 + b"</p></article>"
-    run("fetch", "2401.00001", "--format", "html", client=ScriptedClient(body))
+    run("fetch", "1712.03411", "--format", "html", client=ScriptedClient(body))
     assert json.loads(run("status").out)["current_fulltexts_cached"] == 1
-    assert "Chunk: 2" in run("read", "2401.00001", "--chunk", "2").out
-    assert "Retry failed IDs" in run("fetch", "2401.00002", "--format", "html",
+    assert "Chunk: 2" in run("read", "1712.03411", "--chunk", "2").out
+    assert "Retry failed IDs" in run("fetch", "1712.03412", "--format", "html",
                                      client=ScriptedClient(FetchError("x", 500)), code=1).err
     assert "either" in run("fetch", code=1).err
     assert "no searchable words" in run("search", "the", code=1).err

@@ -1,31 +1,34 @@
 import json
+import random
+import re
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+from xml.etree import ElementTree
 
 import pytest
-from conftest import ScriptedClient, make_feed, make_paper, papers_df
+from conftest import DATA, make_feed, make_paper, papers_df
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quillspark.config import Config, api_query, scan_identity, search_url
 from quillspark.operators import merge
 from quillspark.plans import sync
-from quillspark.plans.library import Library, writer_lock
+from quillspark.plans.library import Library, now, writer_lock
 from quillspark.schema import CATALOG, PAPER_COLUMNS
 from quillspark.sources.connector import FetchError
 from quillspark.sources.feed import parse_feed
 from quillspark.operators.lookup import lookup
-from quillspark.sinks.catalog import CatalogStore
+from quillspark.session import materialise
+from quillspark.sinks.catalog import CatalogStore, CommitConflict
 from quillspark.sources.library import raw_page_stream
-from quillspark.streaming.merge_stream import PageMerger, StreamMerger, _drain, run_page_merge
+from quillspark.sources.tables import papers_from_documents
+from quillspark.streaming.merge_stream import PageMerger, StreamMerger, _drain, latest_revisions, run_page_merge
 
 
 def quiet(_):
     pass
 
 
-def empty(spark):
-    return spark.createDataFrame([], CATALOG)
-
-
 def feed_tables(spark, *raws):
     rows = [(i, r.decode() if isinstance(r, bytes) else r) for i, r in enumerate(raws)]
     return parse_feed(spark.createDataFrame(rows, "offset int, raw string"))
@@ -54,133 +57,236 @@ def test_config_limits(library, change):
         Config(**{**vars(library.config), **change})
 
 
-def test_feed_keeps_text_and_cross_lists(spark):
-    p = make_paper(abstract="A & B < C: ontology  learning.\n", categories=["physics.soc-ph", "cs.AI", "cs.AI"],
-                   primary_category="physics.soc-ph")
-    pages, entries = feed_tables(spark, make_feed([p]))
-    page, entry = pages.first(), entries.first()
-    assert (page.total, page.start, page.n_papers, page.error) == (1, 0, 1, None)
-    assert entry.abstract == "A & B < C: ontology learning."
-    assert entry.categories == ["cs.AI", "physics.soc-ph"]
-    assert entry.pdf_url == p["pdf_url"] and entry.year_month == "2024-01"
-
-
-def test_bad_feeds_are_rejected(spark):
-    error = ('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/api/errors#bad</id>'
-             "<summary>Invalid query</summary></entry></feed>")
-    good = make_feed([make_paper()]).decode()
-    bad = ["<html>challenge</html>", "not xml", error, good.replace("v1</id>", "</id>"),
-           good.replace("2005/Atom", "2005/Other"), good + "<more/>", good.replace("</feed>", ""),
-           good.replace("Ada One", "Ada & One"), good.replace("<author>", ""),
-           good.replace("2024-01-01T00:00:00Z", "yesterday"), good.replace("<o:totalResults>1<", "<o:totalResults>x<"),
-           make_feed([make_paper(title=" ")]).decode(), make_feed([make_paper(categories=[])]).decode()]
-    pages, entries = feed_tables(spark, *bad, good)
-    assert [r.error is None for r in pages.orderBy("offset").collect()] == [False] * len(bad) + [True]
-    assert entries.count() == 1
-
-
-def run(spark, old, papers, stamp):
-    merged = merge.merge(old, papers_df(spark, *papers), stamp)
-    return merged.drop("state").select(*CATALOG.names), merge.merge_counts(merged).first().asDict()
-
-
-def test_merge_is_idempotent_and_never_regresses(spark):
-    first, counts = run(spark, empty(spark), [make_paper()], "t1")
-    assert counts["added"] == 1
-    again, counts = run(spark, first, [make_paper()], "t2")
-    assert counts["unchanged"] == 1 and again.count() == 1
-    newer, counts = run(spark, again, [make_paper(version=2)], "t3")
-    assert counts["updated"] == 1 and newer.first().first_seen == "t1"
-    stale, counts = run(spark, newer, [make_paper(comment="other")], "t4")
-    row = stale.first()
-    assert (row.version, row.comment, row.last_seen, row.in_latest_search) == (2, "", "t4", True)
-    assert counts["unchanged"] == 1
-    _, counts = run(spark, newer, [make_paper(version=2, comment="new")], "t5")
-    assert counts["updated"] == 1
-    _, counts = run(spark, newer, [make_paper(version=2, authors=["Bo", "Ada One"])], "t5")
-    assert counts["updated"] == 1
-
-
-def test_missing_papers_stay_and_are_counted_each_run(spark):
-    first, _ = run(spark, empty(spark), [make_paper(), make_paper("2401.00002")], "t1")
-    second, counts = run(spark, first, [make_paper("2401.00002")], "t2")
-    gone = second.where("id = '2401.00001'").first()
-    assert (gone.in_latest_search, gone.last_seen) == (False, "t1")
-    assert counts["not_in_latest_search"] == 1
-    _, counts = run(spark, second, [make_paper("2401.00002")], "t3")
-    assert counts["not_in_latest_search"] == 1
-
-
-def test_repeated_ids_are_judged_one_by_one_and_the_last_counts(spark):
-    first, _ = run(spark, empty(spark), [make_paper(version=2)], "t1")
-    copies = papers_df(spark, make_paper(version=3), make_paper(version=4, comment="last"), make_paper(version=1))
-    ordered = copies.withColumn("seq", F.col("version") % 4)  # 4, 1, 3 in this order: 3 is the last newer one
-    merged, states = merge.merge_with_repeats(first, ordered, "t2", "seq")
-    assert merged.first().version == 3 and merged.count() == 1
-    counts = merge.merge_counts(states).first().asDict()
-    assert (counts["updated"], counts["unchanged"]) == (2, 1)
-
-
-def test_interrupted_scan_resumes_without_a_partial_catalog(library):
-    a, b, c = make_paper(), make_paper("2401.00002"), make_paper("2401.00003")
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Papers of the documents table as plain rows, those with a text only."""
+    table = papers_from_documents(spark.read.parquet(f"{DATA}/documents.parquet"))
+    found = table.orderBy("id").select(*PAPER_COLUMNS).limit(40).collect()
+    return [p for p in (r.asDict() for r in found) if p["abstract"].strip() and p["title"].strip()]
+
+
+def one_space(text):
+    return " ".join(text.split())
+
+
+def test_pages_of_the_table_come_back_as_they_went(spark, rows):
+    """Odd texts travel through XML: what is read differs from the table by white space and the order of categories."""
+    odd = [{**rows[0], "title": "5 < 6 && \"q\"", "abstract": "]]> &amp;\t\n  <b>not markup</b>"},
+           {**rows[1], "authors": ["O'Neil & Søn", "李"], "categories": ["physics.geo-ph", "cs.DB", "physics.geo-ph"]}]
+    want = odd + rows[2:9]
+    pages, entries = feed_tables(spark, make_feed(want[:4], 9), make_feed(want[4:], 9, 4))
+    assert [(r.total, r.start, r.n_papers, r.error) for r in pages.orderBy("offset").collect()] == [
+        (9, 0, 4, None), (9, 4, 5, None)]
+    got = entries.orderBy("offset", "position").collect()
+    for r, p in zip(got, want, strict=True):
+        assert (r.id, r.version, r.authors, r.primary_category) == (p["id"], p["version"], p["authors"], p["primary_category"])
+        assert (r.title, r.abstract) == (one_space(p["title"]), one_space(p["abstract"]))
+        assert r.categories == sorted(set(p["categories"])) and r.year_month == p["published"][:7]
+
+
+def test_each_broken_page_is_told_from_the_others(spark, rows):
+    good = make_feed(rows[:2]).decode()
+    feed, entry = "{http://www.w3.org/2005/Atom}", rows[0]["abs_url"]
+    no_version = entry[:entry.rindex("v")]
+
+    def without(name):
+        tree = ElementTree.fromstring(good)
+        first = tree.find(f"{feed}entry")
+        for child in [c for c in first if c.tag.endswith(name)]:
+            first.remove(child)
+        return ElementTree.tostring(tree).decode()
+
+    broken = {
+        "cut short": good[:len(good) // 2], "two roots": good + good, "no XML": json.dumps({"entries": []}),
+        "other root": good.replace("feed", "list"), "bare ampersand": good.replace("Desk ", "Desk & "),
+        "no version": good.replace(entry, no_version), "no number": good.replace(">2<", "><", 1),
+        "error entry": good.replace(entry, "http://arxiv.org/api/errors#17"),
+        "bad time": good.replace(rows[0]["published"], "2012-19-40T00:00:00Z"),
+        **{f"without {n}": without(n) for n in ("title", "summary", "published", "updated", "category")}}
+    pages, entries = feed_tables(spark, *broken.values(), good)
+    told = {r.offset: r.error for r in pages.collect()}
+    assert {name for i, name in enumerate(broken) if told[i] is None} == set() and told[len(broken)] is None
+    assert entries.select("offset").distinct().collect() == [(len(broken),)]
+
+
+def plain_merge(stored, scan, stamp):
+    """The merge on dictionaries: id to (version, updated, content, first seen, last seen, current)."""
+    counts, out = Counter(), {}
+    for key in stored.keys() | scan.keys():
+        old, new = stored.get(key), scan.get(key)
+        if new is None:
+            counts["not_in_latest_search"] += 1
+            out[key] = (*old[:5], False)
+        elif old is None:
+            counts["added"] += 1
+            out[key] = (*new, stamp, stamp, True)
+        else:
+            stale = new[:2] < old[:2]
+            counts["unchanged" if stale or new == old[:3] else "updated"] += 1
+            out[key] = (*(old[:3] if stale else new), old[3], stamp, True)
+    return out, counts
+
+
+def test_a_series_of_scans_equals_a_plain_merge(spark, rows):
+    rng, stored, model = random.Random(11), spark.createDataFrame([], CATALOG), {}
+    base = rows[:25]
+    for turn in range(4):
+        scan = []
+        for p in rng.sample(base, 18):
+            version = max(1, p["version"] + rng.randrange(-1, 3))
+            scan.append({**p, "version": version, "comment": rng.choice(["", "", "second"]),
+                         "updated": f"2015-0{version}-0{rng.randrange(1, 4)}T00:00:00Z"})
+        stamp = f"scan {turn}"
+        merged = materialise(merge.merge(stored, papers_df(spark, *scan), stamp))
+        counts = merge.merge_counts(merged).first().asDict()
+        stored = merged.drop("state").select(*CATALOG.names)
+        model, told = plain_merge(model, {p["id"]: (p["version"], p["updated"], p["comment"]) for p in scan}, stamp)
+        assert counts == {name: told[name] for name in merge.COUNTED_STATES}
+        assert {r.id: (r.version, r.updated, r.comment, r.first_seen, r.last_seen, r.in_latest_search)
+                for r in stored.collect()} == model
+
+
+def test_copies_in_one_scan_are_judged_in_their_order(spark, rows):
+    own = {**rows[0], "version": 5}
+    stored = merge.merge(spark.createDataFrame([], CATALOG), papers_df(spark, own), "a").drop("state").select(*CATALOG.names)
+    versions = [6, 9, 4, 7, 5]  # the last that is not older than the stored one counts: 5, with other content
+    scan = papers_df(spark, *[{**own, "version": v, "comment": f"copy {v}"} for v in versions]).withColumn(
+        "turn", F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(versions) for x in (v, i)]), F.col("version")))
+    merged, states = merge.merge_with_repeats(stored, scan, "b", "turn")
+    assert [(r.version, r.comment) for r in merged.collect()] == [(5, "copy 5")]
+    assert merge.merge_counts(states).first().asDict() == {
+        "added": 0, "updated": 4, "unchanged": 1, "not_in_latest_search": 0}
+
+
+class Archive:
+    """Answers any page of a list of papers. faults: what happens instead at the n-th request."""
+
+    def __init__(self, papers, size, **faults):
+        self.papers, self.size, self.faults, self.starts = papers, size, {int(k[1:]): v for k, v in faults.items()}, []
+
+    def get(self, url, content=False):
+        start = int(re.search(r"[?&]start=(\d+)", url).group(1))
+        self.starts.append(start)
+        page, total, told = self.papers[start:start + self.size], len(self.papers), start
+        match self.faults.get(len(self.starts)):
+            case "offline":
+                raise FetchError("no answer")
+            case "grown":
+                total += 1
+            case "empty":
+                page = []
+            case "shifted":
+                told = start + 1
+            case "repeats":
+                page = [self.papers[0], *page[1:]]
+            case "stray":
+                page = [{**page[0], "categories": ["econ.GN"], "primary_category": "econ.GN"}, *page[1:]]
+            case "endless":
+                total = 30_001
+        return make_feed(page, total, told)
+
+
+@pytest.fixture
+def five(library):
+    return Library(library.spark, library.root, Config(**{**vars(library.config), "page_size": 5, "subjects": ["cs", "math"]}))
+
+
+def contents(library):
+    return {(r.id, r.version, r.in_latest_search) for r in library.store.papers().collect()}
+
+
+def test_a_scan_that_breaks_off_goes_on_to_the_same_catalog(five, rows):
+    papers = rows[:13]
+    broken = Archive(papers, 5, n2="offline")
     with pytest.raises(FetchError):
-        sync.update(library, ScriptedClient(make_feed([a, b], 3), FetchError("offline")), progress=quiet)
-    assert library.store.latest() is None
-    assert json.loads(library.progress_path.read_text())["next_start"] == 2
-    client = ScriptedClient(make_feed([c], 3, 2))
-    report = sync.update(library, client, progress=quiet)
-    assert "start=2" in client.urls[0]
-    assert report["added"] == 3 and report["total_stored"] == 3
-    assert library.store.papers().count() == 3
-    assert not library.progress_path.exists()
-    assert library.store.runs().first().added == 3
-    # A second complete scan finds nothing new, and the generation before stays as the backup.
-    again = sync.update(library, ScriptedClient(make_feed([a, b], 3), make_feed([c], 3, 2)), progress=quiet)
-    assert (again["added"], again["unchanged"]) == (0, 3)
-    assert library.store.previous().count() == 3
-
-
-def test_expired_or_foreign_progress_starts_over(library):
-    library.progress_path.parent.mkdir(parents=True, exist_ok=True)
-    for saved in ({"identity": scan_identity(library.config), "started_at": "2020-01-01T00:00:00+00:00"},
-                  {"identity": "other", "started_at": "2999-01-01T00:00:00+00:00"}):
-        library.progress_path.write_text(json.dumps({**saved, "next_start": 2, "total": 3}))
-        assert sync._resumable(library, restart=False) is None
-
-
-def test_duplicates_leave_the_catalog_alone(library):
-    a, b = make_paper(), make_paper("2401.00002")
-    sync.update(library, ScriptedClient(make_feed([a])), progress=quiet)
-    with pytest.raises(ValueError, match="Duplicate"):
-        sync.update(library, ScriptedClient(make_feed([a, b], 3), make_feed([b], 3, 2)), progress=quiet)
-    assert library.store.generation() == 1
-
-
-@pytest.mark.parametrize("second", [make_feed([make_paper("2401.00003")], 4, 2), make_feed([], 3, 2),
-                                    make_feed([make_paper("2401.00003")], 3, 1)])
-def test_drift_and_gaps_are_errors(library, second):
-    client = ScriptedClient(make_feed([make_paper(), make_paper("2401.00002")], 3), second)
-    with pytest.raises(ValueError):
-        sync.update(library, client, restart=True, progress=quiet)
-    assert library.store.latest() is None
+        sync.update(five, broken, progress=quiet)
+    assert five.store.latest() is None and broken.starts == [0, 5]
+    resumed = Archive(papers, 5)
+    report = sync.update(five, resumed, progress=quiet)
+    assert resumed.starts == [5, 10] and not five.progress_path.exists()
+    assert (report["added"], report["total_stored"], report["total_results"]) == (13, 13, 13)
+    assert contents(five) == {(p["id"], p["version"], True) for p in papers}
+    # Two papers leave the search, one is revised; the generation before is the backup.
+    version = papers[0]["version"] + 1
+    address = f"{papers[0]['abs_url'].rsplit('v', 1)[0]}v{version}"
+    after = [{**papers[0], "version": version, "abs_url": address}, *papers[1:11]]
+    report = sync.update(five, Archive(after, 5), progress=quiet)
+    assert [report[n] for n in merge.COUNTED_STATES] == [0, 1, 10, 2]
+    assert {k for k, _, current in contents(five) if not current} == {p["id"] for p in papers[11:]}
+    assert five.store.previous().where("in_latest_search").count() == 13
+    assert [r.added for r in five.store.runs().collect()] == [13, 0]
+
+
+@pytest.mark.parametrize("fault, told", [("grown", "changed"), ("empty", "empty"), ("shifted", "Unexpected"), ("repeats", "Duplicate"),
+                                         ("stray", "out-of-scope"), ("endless", "window")])
+def test_a_fault_in_a_later_page_leaves_the_catalog_alone(five, rows, fault, told):
+    with pytest.raises(ValueError, match=told):
+        sync.update(five, Archive(rows[:8], 5, n2=fault), progress=quiet)
+    assert five.store.latest() is None
+    if fault == "grown":  # from the start again, nothing of the bad scan is left
+        assert sync.update(five, Archive(rows[:8], 5), restart=True, progress=quiet)["added"] == 8
+
+
+@pytest.mark.parametrize("change, usable", [({}, True), ({"started_at": "2011-01-01T00:00:00+00:00"}, False), ({"identity": "x"}, False)])
+def test_only_recent_progress_of_the_same_query_is_used(five, change, usable):
+    five.progress_path.parent.mkdir(parents=True, exist_ok=True)
+    saved = {"identity": scan_identity(five.config), "started_at": now(), "next_start": 5, "total": 8, **change}
+    five.progress_path.write_text(json.dumps(saved))
+    assert (sync._resumable(five, restart=False) == saved) is usable
+    assert sync._resumable(five, restart=True) is None
+
+
+def test_another_query_is_refused_and_no_result_marks_all_gone(five, rows):
+    sync.update(five, Archive(rows[:3], 5), progress=quiet)
+    other = Library(five.spark, five.root, Config(**{**vars(five.config), "subjects": ["cs"]}))
+    with pytest.raises(ValueError, match="criteria changed"):
+        sync.update(other, Archive([], 5), progress=quiet)
+    assert sync.update(five, Archive([], 5), progress=quiet)["not_in_latest_search"] == 3
 
 
-def test_scope_and_window_limits(library):
-    mixed = make_paper(categories=["physics.soc-ph", "cs.AI"], primary_category="physics.soc-ph")
-    assert sync.update(library, ScriptedClient(make_feed([mixed])), progress=quiet)["added"] == 1
-    with pytest.raises(ValueError, match="out-of-scope"):
-        sync.update(library, ScriptedClient(make_feed([make_paper(categories=["physics.soc-ph"])])), progress=quiet)
-    with pytest.raises(ValueError, match="window"):
-        sync.update(library, ScriptedClient(make_feed([make_paper()], 30001)), progress=quiet)
+def test_a_commit_that_another_writer_got_before_is_merged_again(spark, rows, tmp_path):
+    """Two writers build on the same generation; the second one's commit is refused, and nothing of either is lost."""
+    store, rival = (CatalogStore(spark, f"{tmp_path}/catalog") for _ in range(2))
+    tries = []
 
+    def slow(papers):
+        tries.append(papers.count())
+        if len(tries) == 1:
+            rival.change(lambda found: merge.merge(found, papers_df(spark, rows[1]), "rival", partial=True).drop("state"))
+        return merge.merge(papers, papers_df(spark, rows[0]), "slow", partial=True).drop("state")
 
-def test_changed_query_is_refused_and_empty_scan_marks_all_missing(library):
-    sync.update(library, ScriptedClient(make_feed([make_paper()])), progress=quiet)
-    other = Library(library.spark, library.root, Config(**{**vars(library.config), "terms": ["something else"]}))
-    with pytest.raises(ValueError, match="criteria changed"):
-        sync.update(other, ScriptedClient(), progress=quiet)
-    report = sync.update(library, ScriptedClient(make_feed([], 0)), progress=quiet)
-    assert report["not_in_latest_search"] == 1
+    store.change(slow)
+    assert tries == [0, 1] and store.generation() == 2
+    assert {r.id for r in store.papers().collect()} == {rows[0]["id"], rows[1]["id"]}
+    with pytest.raises(CommitConflict):
+        store.commit(2, "any")
+    assert store.generation() == 2 and [r.generation for r in store.commits().orderBy("generation").collect()] == [1, 2]
+
+
+def test_two_threads_lose_no_commit(spark, rows, tmp_path):
+    def add(p):
+        CatalogStore(spark, f"{tmp_path}/catalog").change(
+            lambda found: merge.merge(found, papers_df(spark, p), "t", partial=True).drop("state"))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, rows[:6]))
+    store = CatalogStore(spark, f"{tmp_path}/catalog")
+    assert store.generation() == 6 and {r.id for r in store.papers().collect()} == {p["id"] for p in rows[:6]}
+
+
+def test_a_batch_leaves_the_flag_of_rows_it_does_not_mention(spark, rows, tmp_path):
+    store = CatalogStore(spark, f"{tmp_path}/state/catalog")
+    store.change(lambda _: papers_df(spark, *rows[:2]).withColumns(
+        {"first_seen": F.lit("s"), "last_seen": F.lit("s"), "in_latest_search": F.col("id") == rows[1]["id"]}))
+    landed(tmp_path / "land", 0, rows[2])
+    got = {r.id: r.in_latest_search for r in run_page_merge(spark, f"{tmp_path}/land", f"{tmp_path}/state").collect()}
+    assert got == {rows[0]["id"]: False, rows[1]["id"]: True, rows[2]["id"]: True}
+
+
+def test_equal_revisions_in_a_batch_give_the_same_row_in_any_order(spark, rows):
+    copies = papers_df(spark, *[{**rows[0], "comment": c} for c in "abcdef"])
+    chosen = {latest_revisions(copies.orderBy(F.rand(i)).repartition(i)).first().comment for i in range(1, 5)}
+    assert len(chosen) == 1
 
 
 def test_lock_excludes_a_second_writer(tmp_path):
@@ -199,12 +305,12 @@ def landed(folder, offset, *papers):
 
 def test_stream_merges_pages_as_they_land_and_ignores_late_revisions(spark, tmp_path):
     land, root = tmp_path / "land", str(tmp_path / "state")
-    landed(land, 0, make_paper(version=2), make_paper("2401.00002"))
+    landed(land, 0, make_paper(version=2), make_paper("1712.03412"))
     first = run_page_merge(spark, str(land), root)
-    assert {(r.id, r.version) for r in first.collect()} == {("2401.00001", 2), ("2401.00002", 1)}
-    landed(land, 2, make_paper(version=1), make_paper("2401.00002", version=3))
+    assert {(r.id, r.version) for r in first.collect()} == {("1712.03411", 2), ("1712.03412", 1)}
+    landed(land, 2, make_paper(version=1), make_paper("1712.03412", version=3))
     second = run_page_merge(spark, str(land), root)
-    assert {(r.id, r.version) for r in second.collect()} == {("2401.00001", 2), ("2401.00002", 3)}
+    assert {(r.id, r.version) for r in second.collect()} == {("1712.03411", 2), ("1712.03412", 3)}
     assert all(r.first_seen == "batch 00000000" for r in second.collect())
     unchanged = run_page_merge(spark, str(land), root)
     assert unchanged.count() == 2 and set(PAPER_COLUMNS) <= set(unchanged.columns)
@@ -213,14 +319,14 @@ def test_stream_merges_pages_as_they_land_and_ignores_late_revisions(spark, tmp_
 def test_stream_with_a_new_checkpoint_loses_nothing(spark, tmp_path):
     store = CatalogStore(spark, f"{tmp_path}/state/catalog")
     for offset in (0, 2):
-        landed(tmp_path / "land", offset, make_paper(f"2401.0000{offset + 1}"))
+        landed(tmp_path / "land", offset, make_paper(f"1712.0341{offset + 1}"))
         run_page_merge(spark, f"{tmp_path}/land", f"{tmp_path}/state")
     assert store.generation() == 2
     # Another stream (a checkpoint of its own) with one batch, into the same catalog.
-    landed(tmp_path / "other", 0, make_paper("2401.00009"))
+    landed(tmp_path / "other", 0, make_paper("1712.03419"))
     merger = StreamMerger(store, f"{tmp_path}/lost/checkpoint")
     _drain(raw_page_stream(spark, f"{tmp_path}/other"), PageMerger(merger, f"{tmp_path}/lost/bad"), merger.checkpoint)
-    assert {r.id for r in store.papers().collect()} == {"2401.00001", "2401.00003", "2401.00009"}
+    assert {r.id for r in store.papers().collect()} == {"1712.03411", "1712.03413", "1712.03419"}
     # The same batch once more changes nothing.
     before = store.generation()
     merger(store.papers().drop("first_seen", "last_seen", "in_latest_search"), 0)
@@ -229,28 +335,28 @@ def test_stream_with_a_new_checkpoint_loses_nothing(spark, tmp_path):
 
 def test_a_bad_page_stops_the_stream_and_is_kept(spark, tmp_path):
     land, root = tmp_path / "land", str(tmp_path / "state")
-    landed(land, 0, make_paper(), make_paper("2401.00002", title=""))
+    landed(land, 0, make_paper(), make_paper("1712.03412", title=""))
     with pytest.raises(StreamingQueryException, match="not usable"):
         run_page_merge(spark, str(land), root)
     bad = spark.read.json(f"{root}/bad_pages").collect()
-    assert [(r.offset, r.error) for r in bad] == [(0, "Incomplete metadata for 2401.00002")]
-    landed(land, 0, make_paper(), make_paper("2401.00002", title="Now complete"))
+    assert [(r.offset, r.error) for r in bad] == [(0, "Incomplete metadata for 1712.03412")]
+    landed(land, 0, make_paper(), make_paper("1712.03412", title="Now complete"))
     assert run_page_merge(spark, str(land), root).count() == 2
 
 
 def test_stored_columns_that_a_scan_lacks_stay(spark):
-    stored = papers_df(spark, make_paper(version=3), make_paper("2401.00002"), make_paper("2401.00003")).selectExpr(
+    stored = papers_df(spark, make_paper(version=3), make_paper("1712.03412"), make_paper("1712.03413")).selectExpr(
         "*", "'mine' AS extra", "'t0' AS first_seen", "'t0' AS last_seen", "true AS in_latest_search")
-    scan = papers_df(spark, make_paper(version=2), make_paper("2401.00002", version=2))
+    scan = papers_df(spark, make_paper(version=2), make_paper("1712.03412", version=2))
     for merged in (merge.merge(stored, scan, "t1"),
                    merge.merge(stored, scan.withColumn("position", F.lit(1)), "t1", repeats="position")):
         assert {(r.id, r.version, r.extra) for r in merged.collect()} == {
-            ("2401.00001", 3, "mine"), ("2401.00002", 2, None), ("2401.00003", 1, "mine")}
+            ("1712.03411", 3, "mine"), ("1712.03412", 2, None), ("1712.03413", 1, "mine")}
 
 
 def test_lookup_keeps_positions_and_odd_values(spark):
-    wanted = spark.createDataFrame([(0, "no id"), (1, "2401.00002V1"), (2, None), (3, "2401.00002"), (4, "2401.99999")],
+    wanted = spark.createDataFrame([(0, "no id"), (1, "1712.03412V1"), (2, None), (3, "1712.03412"), (4, "1712.99999")],
                                    "position int, value string")
-    rows = lookup(papers_df(spark, make_paper("2401.00002")).select("id", "version", "title"), wanted).collect()
+    rows = lookup(papers_df(spark, make_paper("1712.03412")).select("id", "version", "title"), wanted).collect()
     assert sorted((r.position, r.problem) for r in rows) == [
         (0, "invalid identifier"), (1, None), (2, "invalid identifier"), (3, None), (4, "not in this catalog")]
