@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from quillspark import schema
 from quillspark.functions.html import blocks_or_error
-from quillspark.functions.text import WHITESPACE_CLASS
+from quillspark.functions.text import WHITESPACE_CLASS, let
 
 JOINER = "\n\n"
 
@@ -57,6 +57,59 @@ def section_chunks(blocks: Iterable[tuple[str, str]], max_chars: int) -> Iterato
         yield section, JOINER.join(parts)
 
 
+def fold_sections(blocks: Column, max_chars: int) -> Column:
+    """array<struct<text, sections>> of labelled blocks (array<struct<label, text>>), like section_chunks, as one fold.
+
+    The state is what was closed and the open chunk with its section. A block fills the open chunk of its section up to
+    the ceiling; what is left of it is cut like a text of a single block, and its last piece stays open. Blocks without
+    a text are passed over.
+    """
+    state_type = "struct<closed: array<struct<text: string, sections: array<string>>>, label: string, open: string>"
+    start = F.from_json(F.lit('{"closed": [], "label": null, "open": ""}'), state_type)
+
+    def closed(state: Column) -> Column:
+        own = F.array(F.struct(state["open"].alias("text"), F.array(state["label"]).alias("sections")))
+        return F.when(state["open"] == "", state["closed"]).otherwise(F.concat(state["closed"], own))
+
+    def room_in(state: Column, block: Column) -> Column:
+        used = F.when(state["open"] == "", 0).otherwise(F.length(state["open"]) + len(JOINER))
+        same = (state["open"] == "") | state["label"].eqNullSafe(block["label"])
+        return F.when(same, max_chars - used).otherwise(0)
+
+    def head(text: Column, room: Column) -> Column:
+        sub = F.substring(text, F.lit(1), room)
+        back = F.reverse(sub)
+        spaces = F.array_min(F.filter(F.array(F.instr(back, " "), F.instr(back, "\n")), lambda i: i > 0))
+        cut = room - F.coalesce(spaces, room)
+        return F.when(F.length(text) <= room, text).when(
+            cut > F.floor(room / 2), F.substring(text, F.lit(1), cut)).otherwise(sub)
+
+    def added(state: Column, block: Column) -> Column:
+        def filled(room: Column) -> Column:
+            def rest_after(piece: Column) -> Column:
+                tail = F.substring(block["text"], F.length(piece) + 1, F.length(block["text"]))
+                return F.when(piece == "", block["text"]).otherwise(F.regexp_replace(tail, f"^{WHITESPACE_CLASS}+", ""))
+
+            return let(F.when(room > 0, head(block["text"], room)).otherwise(F.lit("")), lambda piece: let(
+                rest_after(piece), lambda rest: after(piece, rest)))
+
+        def after(piece: Column, rest: Column) -> Column:
+            grown = F.when(piece == "", state["open"]).when(state["open"] == "", piece).otherwise(
+                F.concat(state["open"], F.lit(JOINER), piece))
+            label = F.when(piece == "", state["label"]).otherwise(block["label"])
+            now = F.struct(state["closed"].alias("closed"), label.alias("label"), grown.alias("open"))
+            return F.when(rest == "", now).otherwise(let(chunk_text(rest, max_chars), lambda pieces: F.struct(
+                F.concat(closed(now), F.transform(
+                    F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+                    lambda p: F.struct(p.alias("text"), F.array(block["label"]).alias("sections")))).alias("closed"),
+                block["label"].alias("label"), F.element_at(pieces, -1).alias("open"))))
+
+        return let(room_in(state, block), filled)
+
+    usable = F.filter(blocks, lambda b: F.coalesce(b["text"], F.lit("")) != "")
+    return F.aggregate(usable, start, lambda s, b: added(s, b).cast(state_type), closed)
+
+
 def _as_rows(chunks: Iterable[tuple[str, str]]) -> list[dict]:
     return [{"text": text, "sections": [section]} for section, text in chunks]
 

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspark import fixed_values as fixed
-from quillspark.functions.text import tokens
+from quillspark.functions.text import let, tokens
 from quillspark.operators.filters import restrict
 from quillspark.operators.ranking import query_terms, rank_order, term_score
 from quillspark.operators.routing import with_topics
@@ -41,16 +41,26 @@ def _weighted_words(papers: DataFrame, columns: list[str]) -> DataFrame:
     return words.withColumn("doc_length", fixed.TITLE_WEIGHT * F.size("_tw") + F.size("_aw"))
 
 
+def _counted(words: Column, size: Column) -> Column:
+    """array<struct<term, tf, in_title>> of words (array<struct<term, part>>, sorted, title words three times as part 0):
+    a run of equal terms is one of its elements."""
+    first = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (
+        F.get(words, i)["term"] != F.get(words, F.greatest(i - 1, F.lit(0)))["term"]))
+    return let(first, lambda starts: F.transform(starts, lambda at, k: F.struct(
+        F.get(words, at)["term"].alias("term"), (F.coalesce(F.get(starts, k + 1), size) - at).alias("tf"),
+        (F.get(words, at)["part"] == 0).alias("in_title"))))
+
+
 def _unfolded(words: DataFrame, columns: list[str]) -> DataFrame:
-    key = [*columns, "doc_length"]
-    rows = words.select(
-        *key, F.size("_tw").alias("_titles"), F.posexplode(F.concat("_tw", "_aw")).alias("_pos", "term"))
-    from_title = F.col("_pos") < F.col("_titles")
-    # The other columns depend on the id; as keys they keep the aggregation hash-based. A paper's words are
-    # counted in the task that reads it, so what is shuffled is one row for each (term, paper), not the texts.
-    return rows.groupBy(*key, "term").agg(
-        F.sum(F.when(from_title, fixed.TITLE_WEIGHT).otherwise(1)).cast("int").alias("tf"),
-        F.bool_or(from_title).alias("in_title"))
+    """One row for each term of each paper. All words of a paper are in its row, so they are sorted and counted there
+    and nothing is shuffled."""
+    def marked(words: str, part: int) -> Column:
+        return F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(part).alias("part")))
+
+    every = F.array_sort(F.concat(*[marked("_tw", 0)] * fixed.TITLE_WEIGHT, marked("_aw", 1)))
+    terms = F.when(F.size(F.col("_aw")) + F.size(F.col("_tw")) > 0, let(every, lambda w: _counted(w, F.size(w))))
+    rows = words.select(*columns, "doc_length", F.explode(terms).alias("t"))
+    return rows.select(*columns, "doc_length", "t.term", "t.tf", "t.in_title")
 
 
 def postings(papers: DataFrame, *carried: str) -> DataFrame:
@@ -65,26 +75,36 @@ def term_totals(posting_rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
 
 
-def _bucket(term: Column, buckets: int) -> Column:
+def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(papers: DataFrame, path: str, rules=fixed.TOPIC_RULES, buckets: int = BUCKETS) -> None:
-    """Write the index of these papers.
+def write_index(papers: DataFrame, path: str, rules=fixed.TOPIC_RULES, buckets: int = BUCKETS,
+                segment: str | None = None) -> None:
+    """Write the index of these papers; with ``segment``, every row carries that name.
 
     Each text is routed and tokenised once. Postings are rebalanced by bucket: the adaptive planner splits a
     bucket whose terms occur in a large share of all papers over several files.
     """
     spark = papers.sparkSession
-    words = materialise(_weighted_words(with_topics(papers, rules), DOC_COLUMNS))
+    named = [] if segment is None else ["segment"]
+    routed = with_topics(papers, rules)
+    if named:
+        routed = routed.withColumn("segment", F.lit(segment))
+    words = materialise(_weighted_words(routed, [*DOC_COLUMNS, *named]))
     words.drop("_tw", "_aw").write.mode("overwrite").parquet(f"{path}/docs")
-    placed = _unfolded(words, ["id", *FILTER_COLUMNS]).withColumn("bucket", _bucket(F.col("term"), buckets))
-    (placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    rows = _unfolded(words, ["id", *FILTER_COLUMNS, *named])
+    write_postings(rows.withColumn("bucket", bucket_of(F.col("term"), buckets)), path)
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(
         f"{path}/layout")
 
 
+def write_postings(rows: DataFrame, path: str) -> None:
+    """Postings (with their bucket) in one folder for each bucket, sorted by term in each file."""
+    (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     buckets = spark.read.parquet(f"{path}/layout").first().buckets
     return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), buckets)
@@ -104,7 +124,7 @@ def search(index: Index, query: str, limit: int | None = 12, topic: str | None =
     terms = query_terms(index.docs.sparkSession, query)
     # The bucket numbers of the terms, as literals, prune the folders that are read.
     numbers = index.docs.sparkSession.range(1).select(
-        F.array(*[_bucket(F.lit(t), index.buckets) for t in terms]).alias("b")).first().b
+        F.array(*[bucket_of(F.lit(t), index.buckets) for t in terms]).alias("b")).first().b
     found = index.postings.where(F.col("bucket").isin(numbers) & F.col("term").isin(terms))
     matching = restrict(found, topic, year, include_missing)
     corpus = restrict(index.docs, topic, year, include_missing).agg(

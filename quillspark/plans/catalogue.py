@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspark.functions import ids, text
-from quillspark.functions.chunking import chunk_text, html_chunks
+from quillspark.functions.chunking import chunk_text, fold_sections, html_chunks
 from quillspark.functions.html import html_blocks
 from quillspark.functions.render import score_text
 from quillspark.operators import (
-    budget, filters, fulltext, lookup, merge, postings, ranking, routing, validation, views)
+    budget, filters, fulltext, lookup, merge, postings, query_table, ranking, routing, rule_table, segments, validation,
+    views)
 from quillspark.operators.ordering import with_position, with_running_total
-from quillspark.session import ship_package
+from quillspark.session import scratch_root, ship_package
 from quillspark.sources.feed import parse_feed
 from quillspark.sources.tables import papers_from_documents, table
 
@@ -34,6 +36,7 @@ PAGE_SIZE = 40
 SCAN_PAGE = 100
 CHUNK_CHARS = 1000
 READ_CHARS = 500
+TURN_CHARS = 600
 
 # What the pages of the sample scan report, from their own rows (plain SQL, shared with the check).
 SCAN_TOTAL_SQL = "CASE WHEN max(length(abstract)) > 30000 THEN 40000 ELSE 900 + count(*) END"
@@ -159,6 +162,38 @@ def bm25_indexed(spark, sf):
     return _hits(postings.search(index, QUERY, limit=12, topic="alignment"))
 
 
+def segmented(spark: SparkSession, sf: str) -> segments.SegmentedIndex:
+    """The papers as an index that got there by changes: a first state in which some papers are shorter and some are
+    there twice, under an id of their own; a segment with those of one language as they are now; one that takes the
+    doubles out; and the first two merged."""
+    p = papers(spark, sf)
+    moved = F.array_contains("categories", "physics.es")
+    before = p.withColumn("abstract", F.when(moved, F.substring("abstract", 1, 60)).otherwise(F.col("abstract")))
+    doubles = p.where(F.array_contains("categories", "physics.de")).withColumn("id", F.concat(F.lit("double-"), "id"))
+    index = segments.SegmentedIndex(spark, f"{scratch_root(spark).rstrip('/')}/segments-{uuid4().hex}", RULES)
+    first = index.add(before.unionByName(doubles))
+    second = index.add(p.where(moved))
+    index.remove(doubles.select("id"))
+    index.merge([first, second])
+    return index
+
+
+def bm25_segments(spark, sf):
+    return _hits(postings.search(segmented(spark, sf).index(), QUERY))
+
+
+def bm25_benchmark(spark, sf):
+    """All benchmark items as queries against all papers."""
+    index = postings.stored_index(papers(spark, sf), RULES)
+    return query_table.rank_queries(index, table(spark, sf, "benchmark"), "item_id")
+
+
+def benchmark_budget(spark, sf):
+    """What each item's search prints of its hits within its own budget."""
+    hits = bm25_benchmark(spark, sf)
+    return query_table.query_blocks(hits, papers(spark, sf), "item_id", max_chars=1500)
+
+
 # --- routing and views -------------------------------------------------------------------------------
 
 def topic_route(spark, sf):
@@ -166,6 +201,26 @@ def topic_route(spark, sf):
         "id", F.array_join("topics", ",").alias("topics"))
 
 
+def topic_rules_table(spark, sf):
+    """The rules of topic_route as a table."""
+    rows = [(i, topic, term) for i, (topic, _, terms) in enumerate(RULES) for term in terms]
+    rules = spark.createDataFrame(rows, "position int, topic string, term string")
+    return rule_table.route(papers(spark, sf), rules).select("id", F.array_join("topics", ",").alias("topics"))
+
+
+def topic_many_rules(spark, sf):
+    """A rule for the opening words of every document, so that the rules grow with the table."""
+    opening = F.regexp_extract(F.lower("text"), RULE_WORDS, 0)
+    rules = table(spark, sf, "documents").where(opening != "").groupBy(opening.alias("term")).agg(
+        F.min("doc_id").alias("position"))
+    rules = rules.withColumn("topic", F.concat(F.lit("t"), F.col("position").cast("string")))
+    return rule_table.route(papers(spark, sf), rules).select("id", F.array_join("topics", ",").alias("topics"))
+
+
+#: Two words with what stands between them.
+RULE_WORDS = r"[\p{L}\p{N}_]+[^\p{L}\p{N}_]+[\p{L}\p{N}_]+"
+
+
 #: Appended to a text, one by its length: default terms, and words that only look like one.
 DEFAULT_PHRASES = ["Ontology Learning", "entity-linking", "(knowledge graphs)", "SHACL", "fragments of storage",
                    "question answering", "plain words", "owls", "taxonomy induction with reasoning"]
@@ -394,7 +449,11 @@ def status_counts(spark, sf):
 
 def full_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as extracted full texts of one section each."""
-    return papers(spark, sf).select(
+    return _as_full_texts(papers(spark, sf))
+
+
+def _as_full_texts(p: DataFrame) -> DataFrame:
+    return p.select(
         "id", "version", "title", fulltext.html_source(F.col("id"), F.col("version")).alias("source_url"),
         F.lit("html").alias("format"), F.array(F.lit("note one"), F.lit("note two")).alias("warnings"),
         text.sha256(F.col("abstract")).alias("source_sha256"),
@@ -419,6 +478,32 @@ def manifest(spark, sf):
         F.array_join(F.transform(m["chunks"]["chars"], lambda n: n.cast("string")), " ").alias("sizes"))
 
 
+def conversation_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as extracted full texts of several sections: the turns in their order, labelled by role or by part.
+    Some labels hold bars, some are longer than a contents table shows."""
+    part = F.floor(F.col("turn") / 3).cast("string")
+    label = (F.when(F.col("conv_id") % 3 == 0, F.col("role")).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("Part | "), part))
+             .otherwise(F.concat(F.repeat(F.lit("Long | "), F.lit(30)), part)))
+    turns = table(spark, sf, "conversations").select("conv_id", F.struct("turn", label.alias("label"), "text").alias("b"))
+    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
+    key = F.col("conv_id").cast("string")
+    return ordered.select(
+        key.alias("id"), F.lit(1).alias("version"), F.concat(F.lit("Conversation "), key).alias("title"),
+        F.concat(F.lit("https://example.org/"), key).alias("source_url"), F.lit("html").alias("format"),
+        F.array(F.lit("turns in order")).alias("warnings"), F.lit("").alias("source_sha256"),
+        fold_sections(F.transform("blocks", lambda b: F.struct(b["label"].alias("label"), b["text"].alias("text"))),
+                      TURN_CHARS).alias("chunks"))
+
+
+def conversation_chunks(spark, sf):
+    return fulltext.chunk_files(conversation_texts(spark, sf)).select(
+        "id", "chunk_no", F.array_join("sections", " / ").alias("sections"), "chars", "body", "sha256")
+
+
+def conversation_contents(spark, sf):
+    return fulltext.manifests(conversation_texts(spark, sf), STAMP).select("id", "contents")
+
+
 def stored_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Manifests and stored files, where long chunks of one source are damaged and some are lost."""
     documents = full_texts(spark, sf)
@@ -440,9 +525,13 @@ def cache_missing(spark, sf):
 
 
 def cached_current(spark, sf):
-    manifests, _ = stored_texts(spark, sf)
-    short = manifests.where(F.size("manifest.chunks") < 3)
-    return fulltext.cached_current(filters.current(papers(spark, sf)), short).select("id", "version")
+    """Cached are the papers with a label; of one source, the revision before."""
+    labelled = papers_from_documents(table(spark, sf, "documents").join(
+        table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi"))
+    held = labelled.withColumn("version", F.when(F.col("primary_category") == "cs.src4", F.col("version") - 1).otherwise(
+        F.col("version")).cast("int"))
+    manifests = fulltext.manifests(_as_full_texts(held), STAMP)
+    return fulltext.cached_current(filters.current(papers(spark, sf)), manifests).select("id", "version")
 
 
 def read_chunk(spark, sf):
@@ -483,7 +572,8 @@ def score_display(spark, sf):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     clean_text, parse_ids, year_months, token_lists, alias_expand, escape_titles,
     term_stats, corpus_stats, bm25_search, bm25_scores, bm25_topic, bm25_year, bm25_include_missing,
-    search_budget, score_display, posting_lists, document_frequency, bm25_indexed,
+    search_budget, score_display, posting_lists, document_frequency, bm25_indexed, bm25_segments, bm25_benchmark,
+    benchmark_budget, topic_rules_table, topic_many_rules, conversation_chunks, conversation_contents,
     topic_route, topic_route_default, group_counts, current_papers, total_order, running_length,
     shard_pages, shard_menu, menu_text, cards, catalog_csv, csv_text, show_budget,
     merge_catalog, merge_counts, merge_repeats, merge_repeat_counts,

@@ -282,6 +282,55 @@ checked AS (
   FROM files f LEFT JOIN stored s USING (id, version, path)),
 states AS (SELECT id, version, bool_and(intact) AS valid FROM checked GROUP BY id, version)"""
 
+TURNS = f"""
+blocks AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, text,
+         CASE conv_id % 3 WHEN 0 THEN role WHEN 1 THEN 'Part | ' || (turn // 3)
+                          ELSE repeat('Long | ', 30) || (turn // 3) END AS label
+  FROM conversations WHERE text <> ''),
+steps AS (
+  SELECT conv_id, 1 AS n, k, label, 1 AS chunk_no, {cut('text', str(q.TURN_CHARS))} AS piece,
+         length({cut('text', str(q.TURN_CHARS))}) AS size, text AS rest
+  FROM blocks WHERE k = 1
+  UNION ALL
+  SELECT conv_id, n, k, label, chunk_no, {cut('rest', 'room')},
+         {q.TURN_CHARS} - room + length({cut('rest', 'room')}), rest
+  FROM (
+    SELECT s.conv_id, s.n + 1 AS n, CASE WHEN tail <> '' THEN s.k ELSE b.k END AS k,
+           CASE WHEN tail <> '' THEN s.label ELSE b.label END AS label,
+           CASE WHEN tail <> '' THEN tail ELSE b.text END AS rest,
+           CASE WHEN tail = '' AND b.label = s.label AND s.size + 2 < {q.TURN_CHARS} THEN s.chunk_no
+                ELSE s.chunk_no + 1 END AS chunk_no,
+           CASE WHEN tail = '' AND b.label = s.label AND s.size + 2 < {q.TURN_CHARS} THEN {q.TURN_CHARS} - s.size - 2
+                ELSE {q.TURN_CHARS} END AS room
+    FROM (SELECT *, {after('rest', 'piece')} AS tail FROM steps) s
+    LEFT JOIN blocks b ON b.conv_id = s.conv_id AND b.k = s.k + 1 WHERE tail <> '' OR b.k IS NOT NULL)),
+files AS (
+  SELECT id, chunk_no, sections, CAST(length(t) AS INTEGER) AS chars, 'Source: https://example.org/' || id || chr(10)
+         || 'Chunk: ' || chunk_no || chr(10) || 'Section/page: ' || sections || chr(10) || chr(10) || t || chr(10) AS body
+  FROM (SELECT CAST(conv_id AS VARCHAR) AS id, chunk_no, any_value(label) AS sections,
+               string_agg(piece, chr(10) || chr(10) ORDER BY n) AS t FROM steps GROUP BY conv_id, chunk_no))"""
+
+BENCHMARK = f"""
+lengths AS (SELECT id, published, {tokens('title')} AS tt, {tokens('abstract')} AS ta FROM papers WHERE in_latest_search),
+corpus AS (SELECT count(*) AS n, avg(3 * len(tt) + len(ta)) AS avg_length FROM lengths),
+occurrences AS (
+  SELECT id, unnest(tt) AS term, 3 AS w, 1 AS t FROM lengths UNION ALL SELECT id, unnest(ta), 1, 0 FROM lengths),
+counted AS (SELECT id, term, sum(w) AS tf, max(t) = 1 AS in_title FROM occurrences GROUP BY id, term),
+asked AS (SELECT DISTINCT item_id, unnest({tokens('text')}) AS term FROM benchmark),
+idfs AS (SELECT term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf
+         FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), corpus),
+parts AS (
+  SELECT item_id, id, term, idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (
+           0.25::DOUBLE + 0.75::DOUBLE * (3 * len(tt) + len(ta)) / avg_length))
+         + CASE WHEN in_title THEN 2 * idf ELSE 0.0::DOUBLE END AS s, published
+  FROM asked JOIN counted USING (term) JOIN idfs USING (term) JOIN lengths USING (id), corpus),
+scores AS (SELECT item_id, id, published, list_reduce(list(s ORDER BY term), lambda a, b: a + b) AS score
+           FROM parts GROUP BY item_id, id, published),
+best AS (
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, published DESC, id DESC) AS INTEGER) AS rank FROM scores) WHERE rank <= 12)"""
+
 ARTICLES = r"""
 articles AS (
   SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages),
@@ -501,9 +550,41 @@ FROM files GROUP BY id, version, title, abstract, source_url""",
         "cache_valid": with_(PAPERS, STORED, recursive=True) + "SELECT * FROM states",
         "cache_missing": with_(PAPERS, STORED, recursive=True) + """
 SELECT id, version FROM papers WHERE (id, version) NOT IN (SELECT (id, version) FROM states WHERE valid)""",
-        "cached_current": with_(PAPERS, CHUNKS, recursive=True) + f"""
-SELECT id, version FROM papers WHERE {CURRENT} AND (id, version) IN (
-  SELECT (id, version) FROM files GROUP BY id, version HAVING count(*) < 3)""",
+        "cached_current": p + f"""
+, held AS (SELECT DISTINCT id, CASE WHEN source = 'src4' THEN version - 1 ELSE version END AS version
+           FROM papers JOIN labels USING (doc_id))
+SELECT id, version FROM papers SEMI JOIN held USING (id, version) WHERE {CURRENT}""",
+        "bm25_segments": ranked(CURRENT, 12),
+        "bm25_benchmark": with_(PAPERS, BENCHMARK) + "SELECT item_id, rank, id, published, score FROM best",
+        "benchmark_budget": with_(PAPERS, BENCHMARK) + f"""
+, blocks AS (SELECT item_id, rank, id, length({search_text.replace(
+    f" || '{fixed.SEARCH_ABSTRACT_LABEL}' || abstract || chr(10)", '')}) AS length FROM best JOIN papers USING (id)),
+running AS (SELECT item_id, rank, id,
+  CAST({len(fixed.SEARCH_HEAD)} + sum(length) OVER (PARTITION BY item_id ORDER BY rank) AS BIGINT) AS used FROM blocks)
+SELECT *, used <= 1400 AS shown FROM running""",
+        "topic_rules_table": p + f"SELECT id, array_to_string({topics(q.RULES)}, ',') AS topics FROM papers",
+        "topic_many_rules": p + r"""
+, rules AS (
+  SELECT term, min(doc_id) AS position FROM (
+    SELECT doc_id, regexp_extract(lower(text), '[\pL\pN_]+[^\pL\pN_]+[\pL\pN_]+') AS term FROM documents)
+  WHERE term <> '' GROUP BY term),
+texts AS (SELECT id, regexp_replace(lower(title || ' ' || abstract), '^[^\pL\pN_]+', '') || ' ' AS t FROM papers),
+split AS (SELECT id, regexp_extract_all(t, '[\pL\pN_]+') AS w, regexp_extract_all(t, '[^\pL\pN_]+') AS g FROM texts),
+grams AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || g[i] || w[i + 1])) AS term FROM split),
+found AS (SELECT id, position FROM grams JOIN rules USING (term))
+SELECT id, coalesce(string_agg('t' || position, ',' ORDER BY position), 'other') AS topics
+FROM texts LEFT JOIN found USING (id) GROUP BY id""",
+        "conversation_chunks": with_(TURNS, recursive=True) + """
+SELECT id, chunk_no, sections, chars, body, sha256(body) AS sha256 FROM files""",
+        "conversation_contents": with_(TURNS, recursive=True) + f"""
+SELECT id, '# Conversation ' || id || {lit(chr(10) * 2 + 'arXiv: ')} || id || 'v1' || {lit(chr(10) + 'Source: ')}
+  || 'https://example.org/' || id || {lit(
+      f"{chr(10)}Extracted: {q.STAMP}{chr(10) * 2}{fixed.CONTENTS_NOTICE}{chr(10) * 2}## Extraction notes{chr(10) * 2}"
+      f"- turns in order{chr(10) * 2}## Chunks{chr(10) * 2}{fixed.CONTENTS_TABLE_HEAD}{chr(10)}")}
+  || string_agg('| [' || lpad(CAST(chunk_no AS VARCHAR), 4, '0') || '](chunks/' || lpad(CAST(chunk_no AS VARCHAR), 4, '0')
+     || '.md) | ' || replace(left(sections, 160), '|', '&#124;') || ' | ' || chars || ' |', chr(10) ORDER BY chunk_no)
+  || chr(10) AS contents
+FROM files GROUP BY id""",
         "read_chunk": with_(PAPERS, STORED, recursive=True) + f"""
 , counts AS (SELECT id, version, count(*) AS n FROM files GROUP BY id, version),
 wanted AS (

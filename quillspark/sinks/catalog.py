@@ -12,12 +12,12 @@ import json
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from quillspark.operators.merge import COUNTED_STATES
 from quillspark.schema import CATALOG
+from quillspark.sinks.commit_log import put_if_absent
 
 REPORT = T.StructType(
     [T.StructField(name, T.LongType()) for name in (*COUNTED_STATES, "total_results", "total_stored")]
@@ -102,34 +102,13 @@ class CatalogStore:
 
     def commit(self, generation: int, folder: str, query: str | None = None, last_sync: str | None = None,
                report: dict | None = None, stream: str | None = None, batch: int | None = None) -> None:
-        """Make a written generation the catalog; raises CommitConflict if this generation has a row already.
-
-        The row is written under a hidden name and renamed, which no file system of Hadoop's does over a file that is
-        there.
-        """
+        """Make a written generation the catalog; raises CommitConflict if this generation has a row already."""
         row = {"generation": generation, "schema_version": SCHEMA_VERSION, "query": query, "last_sync": last_sync,
                "last_report": None if report is None else {name: report.get(name) for name in REPORT.names},
                "stream": stream, "batch": batch, "folder": folder}
-        hadoop, settings = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
-        log = hadoop.Path(f"{self.root}/commits")
-        hidden, final = (hadoop.Path(log, name) for name in (f".{uuid.uuid4().hex}", f"{generation:08d}.json"))
-        store = log.getFileSystem(settings)
-        store.mkdirs(log)
-        out = store.create(hidden, False)
-        try:
-            out.write(bytearray(json.dumps(row, ensure_ascii=False).encode() + b"\n"))
-            out.hsync()
-        finally:
-            out.close()
-        options = self.spark.sparkContext._gateway.new_array(
-            getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            hadoop.FileContext.getFileContext(store.getUri(), settings).rename(hidden, final, options)
-        except Py4JJavaError as problem:
-            store.delete(hidden, False)
-            if "FileAlreadyExistsException" not in str(problem.java_exception.getClass().getName()):
-                raise
-            raise CommitConflict(f"generation {generation} has been committed by another writer") from problem
+        content = json.dumps(row, ensure_ascii=False).encode() + b"\n"
+        if not put_if_absent(self.spark, f"{self.root}/commits", f"{generation:08d}.json", content):
+            raise CommitConflict(f"generation {generation} has been committed by another writer")
 
     def change(self, build: Callable[[DataFrame], DataFrame],
                describe: Callable[[DataFrame], dict] = lambda written: {}, **row) -> dict:
