@@ -37,20 +37,22 @@ def test_pieces_agree_with_the_library(spark):
     assert pieces_bpe.encoded(table.limit(0), PIECES).count() == 0
 
 
-def test_agenda_on_whole_texts_and_any_ids():
+def test_agenda_on_whole_texts(monkeypatch):
     model = pieces_bpe.PieceModel(PIECES)
-    for t in texts():
-        if t:
-            assert model.merged("▁" + t.replace(" ", "▁")) == model.library.encode(t), t
-    rng = random.Random(1)
-    for _ in range(50):
-        ids = [rng.randrange(300, 32_000) for _ in range(8)]
-        assert model.decode(ids) == model.library.decode(ids)
+    own = [t for t in texts() if t]
+    units = ["▁" + t.replace(" ", "▁") for t in own]
+    wanted = [np.array(model.library.encode(t), np.int32).tobytes() for t in own]
+    assert model.merged(units) == wanted
+    for short in (1, 1000):  # all by the heap, all side by side
+        monkeypatch.setattr(pieces_bpe, "SHORT", short)
+        monkeypatch.setattr(pieces_bpe, "AT_ONCE", 7 if short > 1 else 1)
+        assert model.merged(units) == wanted
+    assert model.merged([]) == [] and model.merged(["", "▁a"])[0] == b""
 
 
 def test_a_difference_ends_the_job():
     model = pieces_bpe.PieceModel(PIECES)
-    model.rank.clear()
+    model.pairs.keys[:] = -1
     with pytest.raises(ValueError, match="library"):
         model.checked(["▁the"])
 
@@ -59,7 +61,6 @@ def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     own = texts()
     rows = [(i, t, 1) for i, t in enumerate(own)] + [(4000, None, 1), (2, "second under that key", 1), (2, own[2], 1)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, start int").repartition(5)
@@ -81,3 +82,38 @@ def test_token_files(spark, tmp_path):
         start += len(ids)
     assert sorted(map(tuple, got)) == sorted(want)
     assert token_files.stored(table.limit(0), BYTES).count() == 0
+
+
+def test_stripes_indexes_and_bloom_filters(spark, tmp_path, monkeypatch):
+    from pyarrow import orc
+
+    path = str(tmp_path / "orc")
+    monkeypatch.setitem(token_files.ORC_OPTIONS, "orc.stripe.size", str(64 << 10))
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choices("abcdefgh 0123", k=60))) for i in range(24_000)]
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), path, BYTES)
+    files = sorted((tmp_path / "orc").glob("*.orc"))
+    assert sum(orc.ORCFile(f).nstripes for f in files) > len(files)
+    assert all(orc.ORCFile(f).compression == "ZSTD" and orc.ORCFile(f).row_index_stride == 1000 for f in files)
+    hadoop = spark._jvm.org.apache.hadoop
+    reader = spark._jvm.org.apache.orc.OrcFile
+    kinds = set()
+    for f in files:
+        opened = reader.createReader(hadoop.fs.Path(str(f)), reader.readerOptions(hadoop.conf.Configuration()))
+        inner = opened.rows()
+        for stripe in opened.getStripes():
+            footer = inner.readStripeFooter(stripe)
+            kinds |= {footer.getStreams(i).getKind().toString() for i in range(footer.getStreamsCount())}
+        inner.close()
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+
+
+def test_a_text_of_megabytes(spark):
+    from tokenizers import Tokenizer
+
+    text = " ".join(f"word{i % 50_000}, ü{i}" for i in range(150_000)) + " " + "x" * 3000
+    table = spark.createDataFrame([(1, text), (2, "")], "doc_id bigint, text string")
+    (_, start, n, crc), second = sorted(map(tuple, token_files.stored(table, BYTES).collect()))
+    ids = Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids + [0]
+    assert len(text) > 2_000_000 and (start, n, crc) == (0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert second[1] == n
