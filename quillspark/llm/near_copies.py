@@ -9,7 +9,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.llm.common import Words, mixed, pieces, python_ready, same_key, stored, text_bytes
 from quillspark.llm.components import components
@@ -29,6 +29,10 @@ AT_ONCE = 4
 _BLOCK = 1 << 13
 _SALTS = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) for i in range(WORDS)], np.uint64)
 _PRINT = [f"h{i}" for i in range(WORDS)]
+#: Cells of a set's parity map, and what two nodes are compared by.
+CELLS = 1024
+_PARITY = [f"p{i}" for i in range(CELLS // 64)]
+_COMPARED = [*_PRINT, "size", *_PARITY]
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -53,8 +57,14 @@ def _margins(own: np.ndarray) -> np.ndarray:
     return 2 * ones - len(own)
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, whether the number of its shingles in each of CELLS cells is odd, as bits of 64-bit words."""
+    odd = np.array([np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1 for s in sets], np.uint8)
+    return np.packbits(odd.reshape(-1, CELLS), axis=1, bitorder="little").view(np.int64)
+
+
 def _add_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "fp", *_PRINT, "places"]
+    names = ["key", "fp", *_COMPARED, "places"]
     for batch in batches:
         texts = text_bytes(batch.column(1))
         for cut in pieces([len(t) for t in texts]):
@@ -65,7 +75,8 @@ def _add_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = np.argsort(np.abs(margins)[:, _ORDER], axis=2, kind="stable")[:, :, :TURNED].astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(cut.start, len(sets)), pa.array(fps.view(np.int64)),
-                 *[pa.array(np.ascontiguousarray(p)) for p in prints.T],
+                 *[pa.array(np.ascontiguousarray(p)) for p in prints.T], pa.array([len(s) for s in sets], pa.int64()),
+                 *[pa.array(np.ascontiguousarray(p)) for p in _parities(sets).T],
                  pa.array([p.tobytes() for p in least], pa.binary())], names=names)
 
 
@@ -105,20 +116,38 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1)], names=["a", "b"]).filter(near)
 
 
-def _with_prints(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs a, b whose prints differ in at most MOST_BITS, with that number as ``bits``."""
+def _bits(columns: list[str], left: str, right: str) -> Column:
+    """In how many bits the columns differ; the names of each side begin with a prefix."""
+    return reduce(add, (F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in columns))
+
+
+def _may_link(left: str, right: str) -> Column:
+    """Whether two nodes have near prints, and sets that can be similar enough: each cell with another parity holds a
+    shingle that only one of the sets has, and two similar sets have but few of those. No link fails the second test."""
+    most = (F.col(f"{left}size") + F.col(f"{right}size")) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9
+    return (_bits(_PRINT, left, right) <= MOST_BITS) & (_bits(_PARITY, left, right) <= most)
+
+
+def _feasible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs a, b that may be links, with the number of differing bits of their prints."""
     for side in "ab":
-        own = nodes.select(F.col("fp").alias(f"f{side}"), *[F.col(h).alias(f"{side}{h}") for h in _PRINT])
-        pairs = pairs.join(own, F.col(side) == F.col(f"f{side}"))
-    bits = reduce(add, (F.bit_count(F.col(f"a{h}").bitwiseXOR(F.col(f"b{h}"))) for h in _PRINT))
-    return pairs.select("a", "b", bits.alias("bits")).filter(F.col("bits") <= MOST_BITS)
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(f"{side}{c}") for c in ["fp", *_COMPARED]]),
+                           F.col(side) == F.col(f"{side}fp"))
+    return pairs.filter(_may_link("a", "b")).select("a", "b", _bits(_PRINT, "a", "b").alias("bits"))
+
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).distinct()
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+
+def _texts_of(fps: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(fp, text) of the nodes in ``fps`` (f), one text for each."""
+    keys = fps.join(nodes.select("fp", "least"), F.col("f") == F.col("fp")).select("fp", "least")
+    return stored(docs.join(keys, same_key({"key": "least"})).select("fp", "text").dropDuplicates(["fp"]))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of nodes whose shingles have a Jaccard similarity of SIMILAR or more."""
-    ends = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).distinct()
-    keys = ends.join(nodes.select("fp", "least"), F.col("f") == F.col("fp")).select("fp", "least")
-    texts = stored(docs.join(keys, same_key({"key": "least"})).select("fp", "text").dropDuplicates(["fp"]))
     for side in "ab":
         own = texts.select(F.col("fp").alias(f"f{side}"), F.col("text").alias(f"t{side}"))
         pairs = pairs.join(own, F.col(side) == F.col(f"f{side}"))
@@ -144,44 +173,47 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return found
 
 
+def _open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of a bucket that may be links between two components. No pair leaves the join before it passed
+    _may_link, so a group of texts that are alike, but not enough, gives hardly any, however large it is."""
+    rooted = nodes.select("fp", *_COMPARED).join(roots, "fp")
+    rows = members.select("fp", "v").join(rooted.select("fp", "root").withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"))
+    apart = rows.groupBy(F.col("v").alias("w")).agg(
+        F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("w")
+    split = stored(rows.join(apart, F.col("v") == F.col("w")).select("fp", "v").join(rooted, "fp"))
+    other = split.select(*[F.col(c).alias(f"o{c}") for c in split.columns])
+    met = (F.col("v") == F.col("ov")) & (F.col("fp") < F.col("ofp")) & (F.col("root") != F.col("oroot"))
+    return split.join(other, met & _may_link("", "o")).select(F.col("fp").alias("a"), F.col("ofp").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id) for every row: component_id is the least key that can be reached by steps between texts
     whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    The key has to tell rows of other texts apart. Texts with equal sets are one node. Two nodes are compared if one
-    of 24 segments of their 256-bit SimHashes agrees up to bits that are among the four least certain ones of one of
-    them, and if the SimHashes differ in at most MOST_BITS; what is compared, is compared shingle by shingle, so no
-    other texts are joined. Each node is first compared with the least members of its buckets, the nearest and the
-    least of them; then only pairs are left that no links join yet, and of those all. No bucket is cut short.
+    The key has to tell rows of other texts apart. Texts with equal sets are one node; those without a word are one, too.
+    Two nodes are compared if one of 24 segments of their 256-bit SimHashes agrees up to bits that are among the four
+    least certain ones of one of them, if the SimHashes differ in at most MOST_BITS, and if the parity maps of their
+    sets do not rule a link out; what is compared, is compared shingle by shingle, so no other texts are joined. Each node is first compared
+    with the nearest and the least of the least members of its buckets; then only pairs are left that no links join
+    yet, and of those all. No bucket is cut short.
     """
     python_ready(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    whole = ", ".join(f"{h} bigint" for h in _PRINT)
+    whole = ", ".join(f"{c} bigint" for c in _COMPARED)
     prints = materialise(docs.mapInArrow(_add_prints, f"key {kind}, fp bigint, {whole}, places binary"))
     nodes = materialise(prints.groupBy("fp").agg(
-        F.min("key").alias("least"), *[F.min(h).alias(h) for h in _PRINT], F.min("places").alias("places")))
+        F.min("key").alias("least"), *[F.min(c).alias(c) for c in _COMPARED], F.min("places").alias("places")))
     members = candidates(nodes)
     stars = members.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
-    stars = stored(_with_prints(stars, nodes))
+    stars = _feasible(stars, nodes)
     first = stars.groupBy("b").agg(F.min("a").alias("x"), F.min_by("a", F.struct("bits", "a")).alias("y"))
-    first = materialise(first.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
-    links = _verified(first, nodes, docs)
+    first = stored(first.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
+    links = _verified(first, _texts_of(_ends(first), nodes, docs))
     roots = _roots(nodes, links)
-    # a pair of a bucket of two is the star's pair
-    open_buckets = members.filter("n > 2").join(roots, "fp").select("fp", "v", "root")
-    apart = open_buckets.groupBy(F.col("v").alias("w")).agg(
-        F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("w")
-    split = stored(open_buckets.join(apart, F.col("v") == F.col("w")).select("fp", "v", "root"))
-    other = split.select(F.col("fp").alias("b"), F.col("v").alias("w"), F.col("root").alias("s"))
-    inside = split.join(other, (F.col("v") == F.col("w")) & (F.col("fp") < F.col("b")) & (F.col("root") != F.col("s")))
-    at_a, at_b = (roots.select(F.col("fp").alias(f"f{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    rest = stars.join(at_a, F.col("a") == F.col("fa")).join(at_b, F.col("b") == F.col("fb")).filter(
-        "ra <> rb").select("a", "b")
-    near = _with_prints(inside.select(F.col("fp").alias("a"), "b").distinct(), nodes).select("a", "b")
-    rest = stored(rest.union(near).distinct().join(first, ["a", "b"], "left_anti"))
+    rest = stored(_open_pairs(members, nodes, roots).join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        roots = _roots(nodes, links.union(_verified(rest, nodes, docs)))
+        roots = _roots(nodes, links.union(_verified(rest, _texts_of(_ends(rest), nodes, docs))))
     named = nodes.select("fp", "least").join(roots, "fp")
     ids = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     of_node = materialise(named.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"))

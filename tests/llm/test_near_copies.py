@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from quillspark.llm import near_copies, stages
 
 
@@ -29,6 +31,69 @@ def planted(share, n, seed, words=250):
     return out
 
 
+def test_every_pair_of_the_small_table_is_found(spark):
+    """Recall against all pairs: none of the links of sf0.001 is lost, and none is invented."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in near_copies.classes(docs).collect()}
+    rows = [(r.doc_id, frozenset(shingles(r.text))) for r in docs.collect()]
+    root = {k: k for k, _ in rows}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = 0
+    for i, (k, a) in enumerate(rows):
+        for m, b in rows[:i]:
+            both = len(a & b)
+            if a == b or (both and 5 * both >= 4 * len(a | b)):
+                links += 1
+                low, high = sorted((top(k), top(m)))
+                root[high] = low
+    assert links > 10 and got == {k: top(k) for k in root}
+
+
+def test_parity_maps_lose_no_link():
+    rng = random.Random(4)
+    for words in (8, 60, 400, 3000):
+        for one, two in planted(0.015, 6, rng.random(), words):
+            a, b = near_copies.shingle_sets([one.encode(), two.encode()])
+            maps = near_copies._parities([a, b]).view(np.uint8)
+            differ = int(np.unpackbits(maps[0] ^ maps[1]).sum())
+            assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_a_group_of_texts_that_are_alike_but_not_enough(spark):
+    """Its members meet in the same buckets; none of its pairs, whose number grows with its square, is compared."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(250)]
+    rows = []
+    for k in range(120):
+        own = list(base)
+        for i in rng.sample(range(250), 9):
+            own[i] = f"y{rng.randrange(9000)}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame([*rows, *rows[:5]], "doc_id bigint, text string")
+    assert sum(jaccard(a[1], b[1]) >= 0.8 for i, a in enumerate(rows) for b in rows[:i]) == 0
+    asked = []
+    old, near_copies._verified = near_copies._verified, lambda pairs, texts: asked.append(pairs.count()) or old(pairs, texts)
+    try:
+        got = near_copies.classes(docs).collect()
+    finally:
+        near_copies._verified = old
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((k, k) for k, _ in [*rows, *rows[:5]])
+    assert sum(asked) < 120
+
+
+def test_rows_that_repeat_long_texts_and_other_columns(spark):
+    long = " ".join(f"w{i % 90_000}" for i in range(300_000))
+    rows = [(1, long, 0, "a"), (2, long + " tail", 0, "b"), (1, long, 0, "a"), (3, "short one here", 1, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, size int, key string")
+    got = sorted((r.doc_id, r.component_id) for r in near_copies.classes(docs).collect())
+    assert len(long) > 1_500_000 and got == [(1, 1), (1, 1), (2, 1), (3, 3)]
+
+
 def test_planted_edits_are_found(spark):
     pairs = planted(0, 100, 1) + planted(0.01, 100, 2) + planted(0.02, 100, 3) + planted(0.06, 100, 4)
     rows = [(2 * i + j, p[j], "en", "src0", len(p[j])) for i, p in enumerate(pairs) for j in (0, 1)]
