@@ -71,6 +71,8 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, the ids and the text that they give."""
-    rows = pieces_bpe.encoded(docs.select("doc_id", "lang", "source", "text"), tokenizer_file("piece_bpe_32k.model"))
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    """All columns but the text, and n_tokens, the ids and decoded, the text that they give; columns of the input with
+    these names are replaced."""
+    rows = pieces_bpe.encoded(_packed(docs).select("rest", "text"), tokenizer_file("piece_bpe_32k.model"))
+    kept = [F.col("rest").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded")]
+    return rows.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")

@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from quillspark.llm import byte_network, queries, stages
+from test_near_copies import shingles
 from test_rules_shards_mix import brute_quotas
-from test_simhash import brute_print, brute_roots
 from test_substring_dedup import expected
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,11 +31,23 @@ def folder(spark, tmp_path_factory):
 
 def plain(rows, net):
     rows = [r for r in rows if net.scores([(r[1] or "").encode()])[0] >= queries.ACCEPT]
-    signed = [int(np.uint64(brute_print(r[1])).astype(np.int64)) for r in rows]
-    roots = brute_roots(sorted(set(signed)))
+    # groups by steps between sets of five-word shingles with a Jaccard similarity of 0.8 or more
+    sets = [frozenset(shingles(r[1])) for r in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or (both and 5 * both >= 4 * len(sets[i] | sets[j])):
+                root[top(i)] = top(j)
     groups = defaultdict(list)
-    for r, s in zip(rows, signed):
-        groups[roots[s]].append(r)
+    for i, r in enumerate(rows):
+        groups[top(i)].append(r)
     rows = [min(g, key=lambda r: (r[0] is not None, r[0] or 0)) for g in groups.values()]
     cut = expected([((r[0], r[1]), r[1]) for r in rows], 35)
     by = {c[0]: c for c in cut}
@@ -99,3 +111,7 @@ def test_extra_columns_and_empty_tables(spark, folder):
             assert all(r[n] == f"{n} of mine" for n in names), name
         assert stage(spark, wide.limit(0), folder).count() == 0
     assert stages.as_pieces(spark, docs.limit(0), folder).count() == 0
+    last = stages.as_pieces(spark, wide.withColumns({"ids": F.lit(1), "decoded": F.lit(2)}), folder)
+    assert last.columns == [c for c in wide.columns if c != "text"] + ["n_tokens", "ids", "decoded"]
+    told = {(r.doc_id, r.decoded, r.score) for r in last.collect()}
+    assert told == {(r.doc_id, r.text or "", "score of mine") for r in wide.collect()}
