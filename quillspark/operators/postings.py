@@ -18,7 +18,7 @@ from quillspark.functions.text import let, tokens
 from quillspark.operators.filters import restrict
 from quillspark.operators.ranking import query_terms, rank_order, term_score
 from quillspark.operators.routing import with_topics
-from quillspark.session import materialise, scratch_root
+from quillspark.session import materialise, scratch_folder
 
 DOC_COLUMNS = ["id", "version", "title", "year_month", "published", "in_latest_search", "topics"]
 FILTER_COLUMNS = ["year_month", "published", "in_latest_search", "topics"]
@@ -112,8 +112,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
 
 def stored_index(papers: DataFrame, rules=fixed.TOPIC_RULES) -> Index:
     """An index of these papers in the shared scratch folder."""
-    from uuid import uuid4
-    path = f"{scratch_root(papers.sparkSession).rstrip('/')}/index-{uuid4().hex}"
+    path = scratch_folder(papers.sparkSession, "index")
     write_index(papers, path, rules)
     return read_index(papers.sparkSession, path)
 

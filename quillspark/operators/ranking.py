@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillspark import fixed_values as fixed
 from quillspark.functions.text import content_words, let, singular, tokens
 from quillspark.operators.filters import restrict
+from quillspark.session import materialise
 
 _RANK_KEYS = ("score", "published", "id")
 
@@ -34,15 +35,6 @@ def _occurrences(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
-def _may_mention(terms: list[str]) -> Column:
-    """A cheap test that every paper with a query term passes, to spare most papers the tokeniser."""
-    traces = set(terms)
-    traces |= {plural for plural, base in fixed.IRREGULAR_PLURALS if base in terms}
-    traces |= {phrase for phrase, words in fixed.QUERY_ALIASES if set(words.split()) & set(terms)}
-    return let(F.lower(F.concat("title", F.lit(" "), "abstract")), lambda text: reduce(
-        or_, (F.contains(text, F.lit(t)) for t in sorted(traces))))
-
-
 def _measures(terms: list[str]) -> Column:
     """struct<doc_length, tf, in_title> of a paper; tf and in_title hold one element per term."""
     def measured(title: Column, abstract: Column, in_title: Column, in_abstract: Column) -> Column:
@@ -79,11 +71,12 @@ def term_score(tf: Column, in_title: Column, doc_length: Column, n: Column, df:
 
 
 def scored(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Every paper that may hold a query term, with its score (terms summed in sorted order)."""
+    """Every paper with a query term, with its score (terms summed in sorted order). ``docs`` holds ``m``; it is read
+    twice, so it should be stored."""
     names = ["n", "avg_length", *[f"df_{i}" for i in range(len(terms))]]
     # An uncorrelated scalar subquery: one aggregate row reaches the scoring pass as a constant.
     stats = corpus_statistics(docs, len(terms)).select(F.struct(*names)).scalar()
-    hits = docs.where(_may_mention(terms)).withColumn("_stats", stats)
+    hits = docs.where(F.exists("m.tf", lambda n: n > 0)).withColumn("_stats", stats)
     total = reduce(add, (
         term_score(F.col("m.tf")[i], F.col("m.in_title")[i], F.col("m.doc_length"),
                    F.col("_stats.n"), F.col(f"_stats.df_{i}"), F.col("_stats.avg_length"))
@@ -95,20 +88,26 @@ def rank_order() -> list[Column]:
     return [F.desc(key) for key in _RANK_KEYS]
 
 
+def ranked(papers: DataFrame, query: str, limit: int | None = 12, topic: str | None = None, year: int | None = None,
+           include_missing: bool = False, rules=fixed.TOPIC_RULES) -> DataFrame:
+    """(id, published, score) of the papers that a query finds. Corpus statistics cover the filtered papers only.
+
+    Texts are read and tokenised once: their lengths and term counts are stored, a few numbers for each paper, and the
+    statistics, scores and top-k come from those.
+    """
+    terms = query_terms(papers.sparkSession, query)
+    chosen = restrict(papers, topic, year, include_missing, rules)
+    measured = materialise(term_statistics(chosen, terms).select("id", "published", "m"))
+    found = scored(measured, terms).select("id", "published", "score")
+    return found if limit is None else found.orderBy(*rank_order()).limit(limit)
+
+
 def search(papers: DataFrame, query: str, limit: int | None = 12, topic: str | None = None,
            year: int | None = None, include_missing: bool = False,
            rules=fixed.TOPIC_RULES) -> DataFrame:
-    """Rank papers for a query. Corpus statistics cover the filtered papers only."""
-    terms = query_terms(papers.sparkSession, query)
-    chosen = restrict(papers, topic, year, include_missing, rules)
-    ranked = scored(term_statistics(chosen, terms), terms)
-    if limit is None:
-        ranked = ranked.where(F.exists("m.tf", lambda n: n > 0))
-        return ranked.select(*papers.columns, "score")
-    # Papers without a query term score 0 and sort last, so testing after the limit loses nothing and
-    # keeps the test from being pushed down, where it would tokenise every text once more.
-    top = ranked.select(*papers.columns, "score").orderBy(*rank_order()).limit(limit)
-    return top.where("score > 0")
+    """``ranked`` with all columns of the papers, whose ids have to be unique."""
+    top = ranked(papers, query, limit, topic, year, include_missing, rules)
+    return papers.join(top.select("id", "score"), "id").select(*papers.columns, "score")
 
 
 def numbered(top: DataFrame) -> DataFrame:

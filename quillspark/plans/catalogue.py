@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -15,7 +14,7 @@ from quillspark.operators import (
     budget, filters, fulltext, lookup, merge, postings, query_table, ranking, routing, rule_table, segments, validation,
     views)
 from quillspark.operators.ordering import with_position, with_running_total
-from quillspark.session import scratch_root, ship_package
+from quillspark.session import scratch_folder, ship_package
 from quillspark.sources.feed import parse_feed
 from quillspark.sources.tables import papers_from_documents, table
 
@@ -124,23 +123,23 @@ def _hits(top: DataFrame) -> DataFrame:
 
 
 def bm25_search(spark, sf):
-    return _hits(ranking.search(papers(spark, sf), QUERY))
+    return _hits(ranking.ranked(papers(spark, sf), QUERY))
 
 
 def bm25_scores(spark, sf):
-    return ranking.search(papers(spark, sf), QUERY, limit=None).select("id", "score")
+    return ranking.ranked(papers(spark, sf), QUERY, limit=None).select("id", "score")
 
 
 def bm25_topic(spark, sf):
-    return _hits(ranking.search(papers(spark, sf), QUERY, topic="alignment", rules=RULES))
+    return _hits(ranking.ranked(papers(spark, sf), QUERY, topic="alignment", rules=RULES))
 
 
 def bm25_year(spark, sf):
-    return _hits(ranking.search(papers(spark, sf), QUERY, year=201))
+    return _hits(ranking.ranked(papers(spark, sf), QUERY, year=201))
 
 
 def bm25_include_missing(spark, sf):
-    return _hits(ranking.search(papers(spark, sf), QUERY, limit=50, include_missing=True))
+    return _hits(ranking.ranked(papers(spark, sf), QUERY, limit=50, include_missing=True))
 
 
 def search_budget(spark, sf):
@@ -170,7 +169,7 @@ def segmented(spark: SparkSession, sf: str) -> segments.SegmentedIndex:
     moved = F.array_contains("categories", "physics.es")
     before = p.withColumn("abstract", F.when(moved, F.substring("abstract", 1, 60)).otherwise(F.col("abstract")))
     doubles = p.where(F.array_contains("categories", "physics.de")).withColumn("id", F.concat(F.lit("double-"), "id"))
-    index = segments.SegmentedIndex(spark, f"{scratch_root(spark).rstrip('/')}/segments-{uuid4().hex}", RULES)
+    index = segments.SegmentedIndex(spark, scratch_folder(spark, "segments"), RULES)
     first = index.add(before.unionByName(doubles))
     second = index.add(p.where(moved))
     index.remove(doubles.select("id"))
@@ -565,7 +564,7 @@ def stream_merge(spark, sf):
 
 def score_display(spark, sf):
     ship_package(spark)
-    hits = ranking.search(papers(spark, sf), QUERY, limit=None)
+    hits = ranking.ranked(papers(spark, sf), QUERY, limit=None)
     return hits.select("id", score_text("score").alias("shown"))
 
 

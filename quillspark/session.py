@@ -58,6 +58,13 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one; release_cuts() deletes it, too."""
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _cuts.append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -65,9 +72,8 @@ def materialise(df: DataFrame) -> DataFrame:
     columns, and lost executors only cost a re-read.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    _cuts.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quillspark.operators.merge import merge
 from quillspark.schema import SEEN_FIELDS
-from quillspark.session import scratch_root
+from quillspark.session import scratch_folder
 from quillspark.sinks.catalog import CatalogStore
 from quillspark.sources.feed import parse_feed
 from quillspark.sources.library import raw_page_stream
@@ -104,7 +102,7 @@ def merge_events(spark: SparkSession, events: DataFrame, batches: int = 4) -> Da
     The events land in files by a hash of their id, several files a batch, so a user's events are spread over the
     batches and most batches hold events that are older than what is stored.
     """
-    root = f"{scratch_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "stream")
     files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
     events.repartition(files, F.xxhash64("event_id")).write.parquet(f"{root}/landed")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(f"{root}/landed")
