@@ -94,8 +94,7 @@ def stored(library, papers):
     old = library.spark.createDataFrame([], CATALOG)
     merged = merge.merge(old, papers_df(library.spark, *papers), "stamp")
     gone = F.when(F.col("id") == "1712.03412", False).otherwise(F.col("in_latest_search"))
-    library.store.write(merged.withColumn("in_latest_search", gone).drop("state"), 1)
-    library.store.commit(1, "q", "stamp")
+    library.store.change(lambda _: merged.withColumn("in_latest_search", gone).drop("state"), query="q", last_sync="stamp")
 
 
 def test_build_writes_linked_views_and_a_readable_table(library):
