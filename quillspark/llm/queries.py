@@ -87,7 +87,8 @@ def tokenizer_file(name: str) -> str:
 def winnowed(spark: SparkSession, folder: str) -> DataFrame:
     rows = winnowing.compared(load(spark, folder, "documents"))
     return rows.select("doc_id", "n_chars", "edited_sha256", winnowing.as_text("hashes").alias("fingerprint"),
-                       winnowing.as_text("edited_hashes").alias("edited_fingerprint"), "near_edited", "near_next")
+                       winnowing.as_text("edited_hashes").alias("edited_fingerprint"), "near_edited", "near_next",
+                       *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("positions", "edited_positions")])
 
 
 def tokens(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,6 +11,36 @@ from quillspark.llm.common import span_hashes
 SHARED = "this very passage of at least forty-eight characters stands in both of them"
 
 
+def plain_hash(codes):
+    """The hash of a gram in whole numbers: a sum of powers, then two rounds of multiply and shift."""
+    most, h, power = (1 << 64) - 1, 0, 1
+    for c in codes:
+        h = (h + (c + 1) * power) & most
+        power = power * 0x9E3779B97F4A7C15 & most
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = ((h ^ (h >> shift)) * factor) & most
+    return h ^ (h >> 31)
+
+
+def test_hashes_of_grams():
+    text = "Some words — é中🦊 and more of them."
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    begin = np.arange(len(codes) - op.GRAM + 1)
+    assert span_hashes(codes, begin, begin + op.GRAM).tolist() == [
+        plain_hash(map(ord, text[i:i + op.GRAM])) for i in begin.tolist()]
+
+
+def test_the_query_tells_the_positions(spark):
+    from quillspark.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for r in queries.winnowed(spark, folder).limit(40).collect():
+        want = brute(texts[r.doc_id])
+        assert r.positions == ",".join(str(p) for _, p in want)
+        assert r.fingerprint == "".join(f"{h:08x}" for h, _ in want)
+
+
 def brute(text, gram=op.GRAM, window=op.WINDOW):
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     if not len(codes):
