@@ -13,8 +13,8 @@ from quillspark.llm.common import (
     Words, mixed, pieces, python_ready, same_key, span_hashes, stored, text_bytes)
 
 WINDOW, MINIMISER = 35, 6
-#: A minimiser with more runs than this is dealt by whole windows; the results are the same.
-HOT_RUNS = 20_000
+#: A minimiser with more runs than this is dealt by single windows; the results are the same.
+HOT_RUNS = 5_000
 _BLOCK = 20_000
 
 
@@ -73,36 +73,59 @@ def _list_runs(window: int, minimiser: int):
 
 
 def _pack_runs(window: int):
-    """Cuts the packed strings of a text's listed runs; a hot one gives a string for each window."""
+    """Cuts the packed strings of a text's listed runs."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(2))
             lists = batch.column(3)
             for cut in pieces([len(t) for t in texts], 500_000):
-                rows, firsts, counts, keys, packed = [], [], [], [], []
+                rows, runs, packed = [], [], []
                 for i in range(cut.start, cut.stop):
                     words = Words([texts[i]])
-                    for run in lists[i].as_py():
-                        if not run["hot"]:
-                            spans = [(run["first"], run["n"])]
-                        else:
-                            spans = [(run["first"] + j, 1) for j in range(run["n"])]
-                        for first, n in spans:
-                            part = words.text(first, first + n + window - 1)
-                            rows.append(i)
-                            firsts.append(first)
-                            counts.append(n)
-                            packed.append(part)
-                            keys.append(run["minimiser"] if not run["hot"] else int.from_bytes(
-                                hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True))
+                    own = lists[i].as_py()
+                    rows += [i] * len(own)
+                    runs += own
+                    packed += [words.text(r["first"], r["first"] + r["n"] + window - 1) for r in own]
                 at = pa.array(rows, pa.int64())
                 schema = pa.schema([("_id", batch.column(0).type), ("_hash", pa.int64()), ("first", pa.int32()),
-                                    ("n", pa.int32()), ("bucket", pa.int64()), ("packed", pa.binary())])
-                yield _table(schema, batch.column(0).take(at), batch.column(1).take(at), firsts, counts, keys,
-                             packed)
+                                    ("hot", pa.bool_()), ("bucket", pa.int64()), ("packed", pa.binary())])
+                yield _table(schema, batch.column(0).take(at), batch.column(1).take(at), [r["first"] for r in runs],
+                             [r["hot"] for r in runs], [r["minimiser"] for r in runs], packed)
     return emit
 
 
+_WINDOWS = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("at", pa.int32()), ("window", pa.binary()),
+                      ("copies", pa.int64())])
+
+
+def _list_windows(window: int):
+    """The windows of each distinct string, with the string's copies; a window travels as its 128-bit hash."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for bucket, packed, copies in zip(*(c.to_pylist() for c in batch.columns)):
+                words, digest = Words([packed]), hashlib.md5(packed).digest()
+                out += [(bucket, digest, j, hashlib.blake2b(words.text(j, j + window), digest_size=16).digest(), copies)
+                        for j in range(len(words) - window + 1)]
+            yield _table(_WINDOWS, *([r[i] for r in out] for i in range(5)))
+    return emit
+
+
+def _hot_spans(strings: DataFrame, window: int) -> DataFrame:
+    """What _count_windows gives, for the strings (bucket, packed, copies) of minimisers with very many runs: their
+    windows are counted by their own hashes, so no such minimiser fills one task. A string has few windows, whose
+    ranges are put together again before they meet the texts."""
+    rows = stored(strings.mapInArrow(_list_windows(window),
+                                     "bucket bigint, digest binary, at int, window binary, copies bigint"))
+    often = rows.groupBy(F.col("window").alias("_w")).agg(F.sum("copies").alias("_n")).filter("_n > 1")
+    marked = rows.join(often, F.col("window") == F.col("_w")).groupBy("bucket", "digest").agg(
+        F.sort_array(F.collect_set("at")).alias("ats"))
+    starts = F.filter("ats", lambda a: ~F.array_contains("ats", a - 1))
+    ends = F.filter("ats", lambda a: ~F.array_contains("ats", a + 1))
+    return marked.select("bucket", "digest", F.zip_with(starts, ends, lambda a, b: F.struct(
+        a.alias("from"), (b + window).alias("to"))).alias("spans"))
+
+
 def repeated_words(strings: list[tuple[bytes, int]], window: int) -> list[list[tuple[int, int]]]:
     """For the distinct packed strings of one bucket, each with its copies: the word spans [from, to) that
     repeated windows cover. Windows are sorted; equal neighbours are repeated, as are those of a copied string."""
@@ -185,8 +208,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     1. Each text lists its runs; a run's minimiser is counted. A window's copies share its minimiser, so a
        run whose minimiser occurs once in all the corpus holds no repeated window and never travels.
     2. The others travel as packed strings. Equal ones are counted before buckets are formed, so a passage
-       copied any number of times reaches its bucket once. A minimiser with very many runs deals single
-       windows by their own hash instead, so it does not fill one bucket.
+       copied any number of times reaches its bucket once. A minimiser with very many runs deals the single
+       windows of its distinct strings by their own hash instead, so it does not fill one bucket.
     3. In a bucket, sorting the windows counts them exactly, word for word.
     """
     spark = docs.sparkSession
@@ -205,17 +228,19 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         F.collect_set(F.struct("first", "n", "minimiser", "hot")).alias("_runs")))
     packed = stored(
         whole.join(listed, same_key({"_id": "_i", "_hash": "_h"})).select("_id", "_hash", "_text", "_runs")
-        .mapInArrow(_pack_runs(window), f"{row}, first int, n int, bucket bigint, packed binary"))
-    strings = packed.groupBy("bucket", "packed").agg(F.count(F.lit(1)).alias("copies"))
-    counted = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        .mapInArrow(_pack_runs(window), f"{row}, first int, hot boolean, bucket bigint, packed binary"))
+    cold, hot = (packed.filter(F.col("hot") == F.lit(h)).groupBy("bucket", "packed").agg(
+        F.count(F.lit(1)).alias("copies")) for h in (False, True))
+    counted = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _count_windows(window), "bucket bigint, digest binary, spans array<struct<from: int, to: int>>")
-    found = stored(counted.withColumnsRenamed({"bucket": "_b", "digest": "_d"}))
+    found = stored(counted.union(_hot_spans(hot, window)).withColumnsRenamed({"bucket": "_b", "digest": "_d"}))
     hits = packed.select("_id", "_hash", "first", "bucket", F.unhex(F.md5("packed")).alias("digest")).join(
         found, (F.col("bucket") == F.col("_b")) & (F.col("digest") == F.col("_d")))
     moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("first")).alias("from"),
                                                     (s["to"] + F.col("first")).alias("to")))
-    return hits.select("_id", "_hash", F.explode(moved).alias("span")).groupBy("_id", "_hash").agg(
-        F.collect_set("span").alias("spans"))
+    # A text's spans meet as arrays, one for each of its runs; they may overlap.
+    return hits.select("_id", "_hash", moved.alias("_moved")).groupBy("_id", "_hash").agg(
+        F.flatten(F.collect_list("_moved")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
