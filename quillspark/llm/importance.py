@@ -85,10 +85,18 @@ def _count_grams(size: int, head: Head | None = None):
     return emit
 
 
+#: Frequencies between which the head's limit is looked for.
+_STEPS = sorted({math.ceil(2 ** (k / 4)) for k in range(4 * 62)})
+
+
 def _most_frequent(texts: DataFrame, counting, most: int) -> list[bytes]:
-    counts = texts.mapInArrow(counting, "gram binary, n bigint").filter(F.octet_length("gram") <= HEAD_BYTES)
-    top = counts.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most)
-    return [bytes(r.gram) for r in top.collect()]
+    """The grams whose exact count reaches a limit: the least of _STEPS that no more than ``most`` grams reach. So the
+    driver gets ``most`` rows at the utmost, and no task has to send it its own best ones."""
+    counts = stored(texts.mapInArrow(counting, "gram binary, n bigint").filter(
+        F.octet_length("gram") <= HEAD_BYTES).groupBy("gram").agg(F.sum("n").alias("n")))
+    above = counts.agg(*[F.count_if(F.col("n") >= s) for s in _STEPS]).first()
+    limit = next(s for s, n in zip(_STEPS, above) if n <= most)
+    return [bytes(r.gram) for r in counts.filter(F.col("n") >= limit).collect()]
 
 
 def head_of(docs: DataFrame, text: str = "text", longest: int = LONGEST, buckets: int = BUCKETS,
