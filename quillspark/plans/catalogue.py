@@ -11,7 +11,7 @@ from quillspark.functions.chunking import chunk_text, fold_sections, html_chunks
 from quillspark.functions.html import html_blocks
 from quillspark.functions.render import score_text
 from quillspark.operators import (
-    budget, filters, fulltext, lookup, merge, postings, query_table, ranking, routing, rule_table, segments, validation,
+    block_max, budget, filters, fulltext, lookup, merge, postings, query_table, ranking, routing, rule_table, segments, validation,
     views)
 from quillspark.operators.ordering import with_position, with_running_total
 from quillspark.session import scratch_folder, ship_package
@@ -181,6 +181,12 @@ def bm25_segments(spark, sf):
     return _hits(postings.search(segmented(spark, sf).index(), QUERY))
 
 
+def bm25_blocks(spark, sf):
+    path = scratch_folder(spark, "blocks")
+    block_max.write_blocks(postings.stored_index(papers(spark, sf), RULES), path)
+    return _hits(block_max.search(block_max.read_blocks(spark, path), QUERY))
+
+
 def bm25_benchmark(spark, sf):
     """All benchmark items as queries against all papers."""
     index = postings.stored_index(papers(spark, sf), RULES)
@@ -571,7 +577,7 @@ def score_display(spark, sf):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     clean_text, parse_ids, year_months, token_lists, alias_expand, escape_titles,
     term_stats, corpus_stats, bm25_search, bm25_scores, bm25_topic, bm25_year, bm25_include_missing,
-    search_budget, score_display, posting_lists, document_frequency, bm25_indexed, bm25_segments, bm25_benchmark,
+    search_budget, score_display, posting_lists, document_frequency, bm25_indexed, bm25_segments, bm25_benchmark, bm25_blocks,
     benchmark_budget, topic_rules_table, topic_many_rules, conversation_chunks, conversation_contents,
     topic_route, topic_route_default, group_counts, current_papers, total_order, running_length,
     shard_pages, shard_menu, menu_text, cards, catalog_csv, csv_text, show_budget,

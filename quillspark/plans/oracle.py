@@ -555,6 +555,7 @@ SELECT id, version FROM papers WHERE (id, version) NOT IN (SELECT (id, version)
            FROM papers JOIN labels USING (doc_id))
 SELECT id, version FROM papers SEMI JOIN held USING (id, version) WHERE {CURRENT}""",
         "bm25_segments": ranked(CURRENT, 12),
+        "bm25_blocks": ranked(CURRENT, 12),
         "bm25_benchmark": with_(PAPERS, BENCHMARK) + "SELECT item_id, rank, id, published, score FROM best",
         "benchmark_budget": with_(PAPERS, BENCHMARK) + f"""
 , blocks AS (SELECT item_id, rank, id, length({search_text.replace(

@@ -8,7 +8,7 @@ from conftest import DATA, make_paper, papers_df
 from pyspark.sql import functions as F
 
 from quillspark.functions.chunking import fold_sections, section_chunks
-from quillspark.operators import postings, query_table, ranking, routing, rule_table
+from quillspark.operators import block_max, postings, query_table, ranking, routing, rule_table
 from quillspark.operators.segments import SegmentedIndex
 from quillspark.sources.tables import papers_from_documents
 
@@ -84,6 +84,21 @@ def test_a_segment_that_another_writer_got_before_is_built_again(spark, tmp_path
     assert {r.id for r in index.index().docs.collect()} == {"1712.00001", "1712.00002"}
 
 
+def test_blocks_that_cannot_reach_the_top_are_not_read(spark, papers, tmp_path):
+    block_max.write_blocks(postings.stored_index(papers), str(tmp_path / "blocks"), size=4)
+    index = block_max.read_blocks(spark, str(tmp_path / "blocks"))
+    fewer = 0
+    for query in (QUERY, "para", "rest", "nowordlikethis", "erou rest para the con"):
+        for limit in (1, 3, 12, 500):
+            assert hits(block_max.search(index, query, limit)) == hits(ranking.ranked(papers, query, limit)), (query, limit)
+        if query != "nowordlikethis":
+            read = sum(part.count() for part in block_max.wanted_blocks(index, query, 3))
+            every = ranking.ranked(papers, query, None).count()
+            assert read <= every
+            fewer += read < every
+    assert fewer >= 3
+
+
 def test_a_table_of_queries_ranks_like_each_query(spark, papers):
     index = postings.stored_index(papers)
     queries = {1: QUERY, 2: "the of", 3: "para", 4: None, 5: "nowordlikethis", 6: "rest rest rests erou"}
