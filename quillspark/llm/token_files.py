@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.llm.common import pieces, python_ready
 from quillspark.llm.unit_cache import UnitCache
 from quillspark.operators.ordering import with_running_total
-from quillspark.session import scratch_root
+from quillspark.session import materialise, scratch_root
 
 #: Characters that the byte-level tokenizer's pattern takes for white space. A token never spans the border
 #: between a character of another kind and one of these, so what lies between such borders is encoded alone.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 END_ID = 0
+#: Units whose ids a worker keeps, some 200 bytes each.
+MOST_UNITS = 1_000_000
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -33,7 +35,61 @@ ORC_OPTIONS = {
 }
 
 
-_AT_ONCE = 2_000
+_AT_ONCE = 200
+#: A unit that starts with one space and holds no other white space; such units are encoded line by line.
+_PLAIN = re.compile(f" [^{_SPACE}]+")
+
+
+class UnitEncoder:
+    """The library's ids of units, as bytes of int32.
+
+    Plain units go to the library as the lines of one text, for which it makes one result instead of thousands; the
+    token of the line's end, which is no part of another token, tells them apart. What cannot go that way, does alone:
+    units with other white space, texts that hold the name of a special token, and all if the model has other rules.
+    """
+
+    def __init__(self, library):
+        self.library = library
+        names = [re.escape(t.content) for t in library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(names) or r"(?!)")
+        line = self.one("\n")
+        self.line = int(np.frombuffer(line, np.int32)[0]) if len(line) == 4 else None
+        probes = [" a", " don't", " 12345", " \u00e9t\u00e9,", " \u6771\u4eac", " ...!?", " x\u0301", " \U0001f98a"]
+        if self.line is not None and self.lines(probes) != [self.one(p) for p in probes]:
+            self.line = None
+
+    def one(self, unit: str) -> bytes:
+        return np.array(self.library.encode(unit, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def lines(self, units: list[str]) -> list[bytes] | None:
+        """None if the ids cannot be told apart."""
+        text = "\n".join(units)
+        if self.special.search(text):
+            return None
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+        if len(ends) != len(units):
+            return None
+        data, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], cuts)]
+
+    def alone(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes()
+                for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
+
+    def __call__(self, units: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        plain = [u for u in units if _PLAIN.fullmatch(u)] if self.line is not None else []
+        for i in range(0, len(plain), _AT_ONCE):
+            own = plain[i:i + _AT_ONCE]
+            ids = self.lines(own)
+            if ids is not None:
+                out.update(zip(own, ids))
+        rest = [u for u in units if u not in out]
+        for i in range(0, len(rest), _AT_ONCE):
+            own = rest[i:i + _AT_ONCE]
+            out.update(zip(own, self.alone(own)))
+        return [out[u] for u in units]
 
 
 @lru_cache(maxsize=1)
@@ -43,13 +99,7 @@ def _cache(model: str) -> UnitCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(model)
-
-    def encode(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for i in range(0, len(units), _AT_ONCE)
-                for e in library.encode_batch_fast(units[i:i + _AT_ONCE], add_special_tokens=False)]
-
-    return UnitCache(encode)
+    return UnitCache(UnitEncoder(Tokenizer.from_file(model)), MOST_UNITS)
 
 
 def _encode(model: str, end_id: int):
@@ -113,7 +163,7 @@ def stored(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
     write_tokens(docs, path, model, key=key, text=text)
     back = read_tokens(spark, path)
     kind = back.schema["doc_id"].dataType.simpleString()
-    sums = back.mapInArrow(_sum_up, f"doc_id {kind}, text_crc32 bigint, n_tokens bigint, ids_crc32 bigint")
+    sums = materialise(back.mapInArrow(_sum_up, f"doc_id {kind}, text_crc32 bigint, n_tokens bigint, ids_crc32 bigint"))
     order = [F.col("doc_id"), F.col("text_crc32")]
     totals = with_running_total(sums, [], order, "n_tokens")
     return totals.select("doc_id", (F.col("running_total") - F.col("n_tokens")).alias("start"), "n_tokens",
