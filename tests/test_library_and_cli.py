@@ -93,7 +93,7 @@ def library_papers():
 def stored(library, papers):
     old = library.spark.createDataFrame([], CATALOG)
     merged = merge.merge(old, papers_df(library.spark, *papers), "stamp")
-    gone = F.when(F.col("id") == "1712.03412", False).otherwise(F.col("in_latest_search"))
+    gone = F.when(F.col("id") == "1712.00002", False).otherwise(F.col("in_latest_search"))
     library.store.change(lambda _: merged.withColumn("in_latest_search", gone).drop("state"), query="q", last_sync="stamp")
 
 
@@ -130,7 +130,7 @@ def test_cards_read_back(library):
 def test_card_text(spark):
     paper = papers_df(spark, make_paper(doi="")).withColumn("in_latest_search", F.lit(None).cast("boolean"))
     card = views.cards(paper).first().content
-    assert card.startswith("# Ontology matching with large models\n\n- arXiv: [1712.03411v1](https://arxiv.org/abs/")
+    assert card.startswith("# Ontology matching with large models\n\n- arXiv: [1712.00001v1](https://arxiv.org/abs/")
     for line in ("- 作者: Mira Sol\n", "- 分类: cs.DB, stat.CO\n", "- 最近完整搜索中出现: True\n",
                  "- 路由标签（关键词规则）: alignment\n", "- DOI: 未提供\n"):
         assert line in card
@@ -151,17 +151,17 @@ def test_command_line(library, spark, capsys):
     found = run("search", "ontology matching", "--limit", "2", "--abstracts").out
     assert found.count("card: cards/") == 2 and "Text 5" in found
     assert run("search", "ontology", "--year", "2023", "--topic", "alignment").out.count("card:") == 1
-    assert "No" not in run("show", "1712.03411", "1712.03412").out
-    shown = run("show", "1712.03411", "1712.03412", "--max-chars", "900").out
+    assert "No" not in run("show", "1712.00001", "1712.00002").out
+    shown = run("show", "1712.00001", "1712.00002", "--max-chars", "900").out
     assert shown.count("## 原始摘要") == 1 and "输出预算不足" in shown
     assert "not in this catalog" in run("show", "1712.09999", code=1).err
     state = json.loads(run("status").out)
     assert state["papers_in_latest_search"] == 5 and state["index_state"]["catalog_sync"] == state["last_sync_utc"]
     body = b"<article><h1>T</h1><p>" + b"content " * 900 + b"</p></article>"
-    run("fetch", "1712.03411", "--format", "html", client=ScriptedClient(body))
+    run("fetch", "1712.00001", "--format", "html", client=ScriptedClient(body))
     assert json.loads(run("status").out)["current_fulltexts_cached"] == 1
-    assert "Chunk: 2" in run("read", "1712.03411", "--chunk", "2").out
-    assert "Retry failed IDs" in run("fetch", "1712.03412", "--format", "html",
+    assert "Chunk: 2" in run("read", "1712.00001", "--chunk", "2").out
+    assert "Retry failed IDs" in run("fetch", "1712.00002", "--format", "html",
                                      client=ScriptedClient(FetchError("x", 500)), code=1).err
     assert "either" in run("fetch", code=1).err
     assert "no searchable words" in run("search", "the", code=1).err
