@@ -14,7 +14,7 @@ from quillspark.operators import (
     block_max, budget, filters, fulltext, lookup, merge, postings, query_table, ranking, routing, rule_table, segments, validation,
     views)
 from quillspark.operators.ordering import with_position, with_running_total
-from quillspark.session import scratch_folder, ship_package
+from quillspark.session import materialise, scratch_folder, ship_package
 from quillspark.sources.feed import parse_feed
 from quillspark.sources.tables import papers_from_documents, table
 
@@ -568,6 +568,44 @@ def stream_merge(spark, sf):
     return merge_events(spark, table(spark, sf, "events"))
 
 
+#: Scans of scan_stream: papers of a page, minutes from page to page, first hours that each landing after it begins with.
+STREAM_PAGE, STREAM_MINUTES, STREAM_HOURS = 10, 7, (7, 14)
+
+
+def scan_stream(spark, sf):
+    """A scan for each source, begun an hour after the one before, while its pages land in three parts: some pages never
+    land, some report another total, equal texts are repeated ids, and long scans run out of time."""
+    from quillspark.streaming.scan_stream import ScanChecks
+    hour = F.expr("try_cast(substring(source, 4) AS BIGINT)")
+    started = F.timestamp_seconds(1893456000 + 3600 * F.coalesce(hour, F.lit(0)))
+    docs = table(spark, sf, "documents").select("source", "doc_id", "n_chars", text.sha256(F.col("text")).alias("id"))
+    placed = with_position(docs, ["source"], [F.col("doc_id")])
+    offset = F.floor(F.col("position") / STREAM_PAGE).cast("bigint") * STREAM_PAGE
+    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
+    rows = placed.withColumn("offset", offset).join(sizes, "source")
+    pages = rows.groupBy("source", "offset").agg(
+        F.max("size").alias("size"), F.max("n_chars").alias("longest"), F.count(F.lit(1)).alias("n_papers"))
+    minutes = STREAM_MINUTES * (F.col("offset") / STREAM_PAGE + 1)
+    pages = materialise(pages.where("longest % 7 > 0").select(
+        F.col("source").alias("scan"), started.alias("started"),
+        F.timestamp_seconds(F.unix_timestamp(started) + (60 * minutes).cast("bigint") + 13).alias("landed"), "offset",
+        (F.col("size") + F.when(F.col("longest") % 11 == 0, 1).otherwise(0)).alias("total"), "n_papers"))
+    entries = materialise(rows.select(F.col("source").alias("scan"), "offset", "id").join(
+        pages.select("scan", "offset", "started", "landed"), ["scan", "offset"]))
+    checks = ScanChecks(spark, scratch_folder(spark, "scans"))
+    edges = [1893456000 + 3600 * h for h in (-1, *STREAM_HOURS)]
+    for begin, end in zip(edges, [*edges[1:], None]):
+        part = F.unix_timestamp("landed") >= begin
+        if end is not None:
+            part &= F.unix_timestamp("landed") < end
+        checks.land(pages.where(part), entries.where(part))
+        checks.drain()
+    return checks.verdicts().select("scan", F.col("status").alias("kind"), F.lit("").alias("id"), F.col("covered").alias("n"),
+                                    "total", "first_gap").unionByName(
+        checks.repeated().select("scan", F.lit("repeated").alias("kind"), "id", F.col("copies").alias("n")),
+        allowMissingColumns=True)
+
+
 def score_display(spark, sf):
     ship_package(spark)
     hits = ranking.ranked(papers(spark, sf), QUERY, limit=None)
@@ -585,4 +623,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     page_validation, scan_validation, dup_across_pages, scope_check, mandatory_fields,
     feed_parse, feed_pages_parsed, lookup_ids, status_counts,
     chunks, manifest, cache_valid, cache_missing, cached_current, read_chunk,
-    html_block_rows, html_chunk_rows, stream_merge)}
+    html_block_rows, html_chunk_rows, stream_merge, scan_stream)}

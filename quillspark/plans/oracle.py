@@ -613,6 +613,28 @@ steps AS (
   SELECT page_id, pos + 1, label, tail, {cut('tail', str(q.CHUNK_CHARS))}, ''
   FROM (SELECT *, {after('rest', 'piece')} AS tail FROM steps) WHERE tail <> '')""", recursive=True) + """
 SELECT page_id, pos, label AS sections, lead || piece AS text FROM steps""",
+        "scan_stream": f"""
+WITH placed AS (
+  SELECT source AS scan, sha256(text) AS id, n_chars, count(*) OVER (PARTITION BY source) AS size,
+         (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {q.STREAM_PAGE} AS page,
+         coalesce(try_cast(substr(source, 4) AS BIGINT), 0) * 60 AS begun FROM documents),
+landed AS (
+  SELECT scan, page, begun, max(n_chars) AS longest, count(*) AS papers, begun + {q.STREAM_MINUTES} * (page + 1) AS minute,
+         max(size) + CASE WHEN max(n_chars) % 11 = 0 THEN 1 ELSE 0 END AS total
+  FROM placed GROUP BY scan, page, begun HAVING max(n_chars) % 7 > 0),
+timely AS (SELECT * FROM landed WHERE minute < begun + 360),
+scans AS (
+  SELECT scan, any_value(begun) AS begun, CAST(sum(papers) AS BIGINT) AS n, max(total) AS total, min(total) AS low,
+         list(page) AS pages, max(page * {q.STREAM_PAGE} + papers) AS reach FROM timely GROUP BY scan),
+judged AS (
+  SELECT *, list_filter(range(0, total // {q.STREAM_PAGE} + 2), lambda p: NOT list_contains(pages, p))[1]
+            * {q.STREAM_PAGE} AS missing FROM scans)
+SELECT scan, CASE WHEN low < total THEN 'drift' WHEN n = total THEN 'complete' ELSE 'expired' END AS kind, '' AS id, n, total,
+       CASE WHEN n < total THEN least(missing, CASE WHEN missing > reach THEN reach ELSE missing END) END AS first_gap
+FROM judged WHERE n = total OR begun + 360 <= (SELECT max(minute) - 10 FROM landed)
+UNION ALL
+SELECT scan, 'repeated', id, count(*), NULL, NULL
+FROM placed JOIN timely USING (scan, page) GROUP BY scan, id HAVING count(*) > 1""",
         "stream_merge": """
 SELECT CAST(user_id AS VARCHAR) AS id, 1 AS version, max(stamp) AS updated,
        arg_max(event_type, stamp) AS event_type, arg_max(value, stamp) AS value, true AS in_latest_search
