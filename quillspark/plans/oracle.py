@@ -550,10 +550,8 @@ FROM files GROUP BY id, version, title, abstract, source_url""",
         "cache_valid": with_(PAPERS, STORED, recursive=True) + "SELECT * FROM states",
         "cache_missing": with_(PAPERS, STORED, recursive=True) + """
 SELECT id, version FROM papers WHERE (id, version) NOT IN (SELECT (id, version) FROM states WHERE valid)""",
-        "cached_current": p + f"""
-, held AS (SELECT DISTINCT id, CASE WHEN source = 'src4' THEN version - 1 ELSE version END AS version
-           FROM papers JOIN labels USING (doc_id))
-SELECT id, version FROM papers SEMI JOIN held USING (id, version) WHERE {CURRENT}""",
+        "cached_current": with_(PAPERS, CHUNKS, recursive=True) + f"""
+SELECT id, version FROM papers WHERE {CURRENT} AND (id, version) IN (SELECT (id, version) FROM files)""",
         "bm25_segments": ranked(CURRENT, 12),
         "bm25_blocks": ranked(CURRENT, 12),
         "bm25_benchmark": with_(PAPERS, BENCHMARK) + "SELECT item_id, rank, id, published, score FROM best",
