@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark import fixed_values as fixed
-from quillspark.functions.text import let
 from quillspark.operators.routing import _WORD, _routed_text, boundary_pattern
+from quillspark.session import materialise
 
 _GAP = _WORD.replace("[", "[^")
 #: Terms of more words than this are matched by pattern.
@@ -17,20 +17,13 @@ MOST_WORDS = 6
 
 def _grams(text: Column, sizes: list[int]) -> Column:
     """Every run of so many words of a text, with what stands between them as it is. A run begins and ends where a word
-    does, so an n-gram is equal to a term exactly where the term stands between word boundaries."""
-    def runs(words: Column, gaps: Column, size: int) -> Column:
-        def run(i: Column) -> Column:
-            return F.concat(*[x for k in range(size) for x in (
-                [F.get(words, i + k)] if k == size - 1 else [F.get(words, i + k), F.get(gaps, i + k)])])
-        return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), run)).otherwise(
-            F.array().cast("array<string>"))
-
-    # gaps[i] is what follows words[i]; the text gets a gap at its end.
-    start = F.regexp_replace(text, f"^{_GAP}+", "")
-    return let(F.concat(start, F.lit(" ")), lambda t: let(
-        F.regexp_extract_all(t, F.lit(f"{_WORD}+"), F.lit(0)), lambda words: let(
-            F.regexp_extract_all(t, F.lit(f"{_GAP}+"), F.lit(0)), lambda gaps: F.array_distinct(
-                reduce(F.concat, (runs(words, gaps, n) for n in sizes))))))
+    does, so an n-gram is equal to a term exactly where the term stands between word boundaries. A match takes up one
+    word and looks ahead at the others, so the next run begins at the next word."""
+    def runs(size: int) -> Column:
+        run = f"{_WORD}++(?:{_GAP}++{_WORD}++){{{size - 1}}}"
+        return F.regexp_extract_all(text, F.lit(f"(?=({run})){_WORD}++"), F.lit(1))
+
+    return F.array_distinct(reduce(F.concat, (runs(n) for n in sizes)))
 
 
 def route(papers: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
@@ -42,8 +35,10 @@ def route(papers: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
     pattern.
     """
     plain = F.col("term").rlike(f"^{_WORD}") & F.col("term").rlike(f"{_WORD}$")
-    sized = rules.where("term <> ''").select(
-        "position", "topic", "term", F.regexp_count("term", F.lit(f"{_WORD}+")).alias("size"), plain.alias("plain"))
+    # Stored, so that the planner knows how large the rules are before it deals out the n-grams, and rules that are
+    # themselves the result of a query are made once.
+    sized = materialise(rules.where("term <> ''").select(
+        "position", "topic", "term", F.regexp_count("term", F.lit(f"{_WORD}+")).alias("size"), plain.alias("plain")))
     simple = F.col("plain") & (F.col("size") <= MOST_WORDS)
     sizes = sorted(r["size"] for r in sized.where(simple).select("size").distinct().collect())
     texts = papers.select(F.col(key).alias("_k"), _routed_text(F.col("title"), F.col("abstract")).alias("_text"))

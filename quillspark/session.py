@@ -45,6 +45,18 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(application)
 
 
+#: Rows in an Arrow batch; bounds what a Python worker holds when texts are long.
+BATCH_ROWS = 200
+
+
+def arrow_ready(spark: SparkSession) -> None:
+    """Send the package to the workers and keep Arrow batches of long texts small."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut points: the one the cluster names, or a throw-away one in local mode."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
