@@ -62,12 +62,19 @@ def corpus_statistics(docs: DataFrame, n_terms: int) -> DataFrame:
         *[F.count_if(F.col("m.tf")[i] > 0).alias(f"df_{i}") for i in range(n_terms)])
 
 
+def idf(n: Column, df: Column) -> Column:
+    return F.ln(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def damping(tf: Column, doc_length: Column, avg_length: Column) -> Column:
+    return tf + fixed.BM25_K1 * ((1 - fixed.BM25_B) + fixed.BM25_B * doc_length / avg_length)
+
+
 def term_score(tf: Column, in_title: Column, doc_length: Column, n: Column, df: Column,
                avg_length: Column) -> Column:
-    idf = F.ln(1 + (n - df + 0.5) / (df + 0.5))
-    damping = tf + fixed.BM25_K1 * ((1 - fixed.BM25_B) + fixed.BM25_B * doc_length / avg_length)
-    frequency_part = F.when(tf > 0, idf * tf * (fixed.BM25_K1 + 1) / damping).otherwise(0.0)
-    return frequency_part + F.when(in_title, fixed.TITLE_BOOST * idf).otherwise(0.0)
+    weight = idf(n, df)
+    frequency_part = F.when(tf > 0, weight * tf * (fixed.BM25_K1 + 1) / damping(tf, doc_length, avg_length)).otherwise(0.0)
+    return frequency_part + F.when(in_title, fixed.TITLE_BOOST * weight).otherwise(0.0)
 
 
 def scored(docs: DataFrame, terms: list[str]) -> DataFrame:

@@ -157,3 +157,25 @@ def test_the_fold_cuts_like_the_loop(spark):
     odd = spark.createDataFrame([(1, [("a", None), ("b", ""), ("c", "x")]), (2, [])], "id int, blocks array<struct<label: string, text: string>>")
     assert [[(c.sections[0], c.text) for c in r.chunks] for r in odd.select(fold_sections(F.col("blocks"), 9).alias("chunks")).collect()] == [
         [("c", "x")], []]
+
+
+def test_queries_and_papers_meet_in_groups(spark, papers, monkeypatch):
+    monkeypatch.setattr(query_table, "GROUP_PAPERS", 30)
+    monkeypatch.setattr(query_table, "GROUP_QUERIES", 2)
+    queries = {"a": QUERY, "b": "para", "c": None, "d": "rest la de para", "e": "de la"}
+    table = spark.createDataFrame(list(queries.items()), "q string, text string")
+    ranked = query_table.rank_queries(postings.stored_index(papers), table, "q", limit=7)
+    assert "ObjectHashAggregate" not in plan(ranked)  # no row for each (query, paper, term)
+    got = {}
+    for r in ranked.orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r["rank"], r.id, r.published, r.score))
+    for q in "abde":
+        best = ranking.ranked(papers, queries[q], 7).orderBy(*ranking.rank_order()).collect()
+        assert got[q] == [(i, r.id, r.published, r.score) for i, r in enumerate(best, 1)]
+    assert "c" not in got
+
+
+def test_postings_do_not_repeat_what_docs_hold(papers):
+    index = postings.stored_index(papers)
+    assert set(index.postings.columns) == {"bucket", "term", "id", "tf", "in_title"}
+    assert {"published", "doc_length", "topics", "year_month", "in_latest_search"} <= set(index.docs.columns)
