@@ -33,9 +33,9 @@ class BlockIndex(NamedTuple):
 def write_blocks(index: Index, path: str, size: int = BLOCK) -> None:
     """Write the postings of an index's current papers by term folder, term and block, and the bounds of the blocks."""
     docs = current(index.docs)
-    placed = with_position(docs.select("id", "doc_length"), [], [F.asc("doc_length"), F.asc("id")])
-    blocks = placed.select("id", F.floor(F.col("position") / size).cast("int").alias("block"))
-    rows = index.postings.select("bucket", "term", "id", "published", "tf", "in_title", "doc_length").join(blocks, "id")
+    placed = with_position(docs.select("id", "published", "doc_length"), [], [F.asc("doc_length"), F.asc("id")])
+    blocks = placed.select("id", "published", "doc_length", F.floor(F.col("position") / size).cast("int").alias("block"))
+    rows = index.postings.select("bucket", "term", "id", "tf", "in_title").join(blocks, "id")
     (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket")
      .parquet(f"{path}/postings"))
     written = index.docs.sparkSession.read.parquet(f"{path}/postings")
