@@ -36,12 +36,13 @@ ORC_OPTIONS = {
 
 
 _AT_ONCE = 200
-#: A unit that starts with one space and holds no other white space; such units are encoded line by line.
-_PLAIN = re.compile(f" [^{_SPACE}]+")
+#: A unit that starts with one space and holds no other white space is encoded line by line. White space is only at the
+#: start of a unit, or all of it, so the second character tells, or that there is none.
+_NOT_PLAIN = frozenset(["", *(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c)))])
 
 
 class UnitEncoder:
-    """The library's ids of units, as bytes of int32.
+    """The library's ids of units (matches of _UNIT), as bytes of int32.
 
     Plain units go to the library as the lines of one text, for which it makes one result instead of thousands; the
     token of the line's end, which is no part of another token, tells them apart. What cannot go that way, does alone:
@@ -79,17 +80,22 @@ class UnitEncoder:
 
     def __call__(self, units: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
-        plain = [u for u in units if _PLAIN.fullmatch(u)] if self.line is not None else []
+        plain, rest = [], []
+        for u in units:
+            (plain if u[0] == " " and u[1:2] not in _NOT_PLAIN else rest).append(u)
+        if self.line is None:
+            plain, rest = [], units
         for i in range(0, len(plain), _AT_ONCE):
             own = plain[i:i + _AT_ONCE]
             ids = self.lines(own)
-            if ids is not None:
+            if ids is None:
+                rest.extend(own)
+            else:
                 out.update(zip(own, ids))
-        rest = [u for u in units if u not in out]
         for i in range(0, len(rest), _AT_ONCE):
             own = rest[i:i + _AT_ONCE]
             out.update(zip(own, self.alone(own)))
-        return [out[u] for u in units]
+        return list(map(out.__getitem__, units))
 
 
 @lru_cache(maxsize=1)

@@ -18,18 +18,16 @@ class UnitCache:
     def values(self, units: list[list[str]]) -> list[list]:
         """The value of every unit in every list."""
         known, older = self.known, self.older
-        out = [list(map(known.get, own)) for own in units]
-        holes = [(own, found, [i for i, v in enumerate(found) if v is None])
-                 for own, found in zip(units, out) if None in found]
-        if holes:
-            missing = {own[i] for own, _, at in holes for i in at}
-            fresh = {u: older[u] for u in missing if u in older}
-            new = list(missing.difference(fresh))
-            fresh.update(zip(new, self.encode(new)))
-            for own, found, at in holes:
-                for i in at:
-                    found[i] = fresh[own[i]]
-            known.update((u, v) for u, v in fresh.items() if len(u) <= LONGEST_UNIT)
-            if len(known) > self.most // 2:
-                self.known, self.older = {}, known
+        missing = set().union(*units).difference(known)
+        if not missing:
+            return [list(map(known.__getitem__, own)) for own in units]
+        fresh = {u: older[u] for u in missing.intersection(older)} if older else {}
+        new = list(missing.difference(fresh)) if fresh else list(missing)
+        known.update(fresh)
+        known.update(zip(new, self.encode(new)))
+        out = [list(map(known.__getitem__, own)) for own in units]
+        for unit in [u for u in new if len(u) > LONGEST_UNIT]:
+            del known[unit]
+        if len(known) > self.most // 2:
+            self.known, self.older = {}, known
         return out

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -117,3 +118,21 @@ def test_a_text_of_megabytes(spark):
     ids = Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids + [0]
     assert len(text) > 2_000_000 and (start, n, crc) == (0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert second[1] == n
+
+
+def test_units_that_are_new_reach_the_encoder_once():
+    from quillspark.llm.token_files import _NOT_PLAIN, _SPACE, _UNIT
+    from quillspark.llm.unit_cache import LONGEST_UNIT, UnitCache
+
+    asked = []
+    cache = UnitCache(lambda new: asked.append(sorted(new)) or [u.upper() for u in new], most=8)
+    long = "x" * (LONGEST_UNIT + 1)
+    assert cache.values([["a", "b", "a"], [], [long, "a"]]) == [["A", "B", "A"], [], [long.upper(), "A"]]
+    assert cache.values([["b", "c"], [long]]) == [["B", "C"], [long.upper()]]
+    assert cache.values([["d", "e", "f"]]) == [["D", "E", "F"]]  # half full: all become the older ones
+    assert cache.values([["a", "g", "a"]]) == [["A", "G", "A"]]
+    assert asked == [["a", "b", long], ["c", long], ["d", "e", "f"], ["g"]]
+    text = "a b  c \n d　e  f\x85 \t" + " ".join(chr(c) for c in range(1, 0x3002) if not 0xd800 <= c < 0xe000)
+    units = _UNIT.findall(text)
+    plain = [u for u in units if u[0] == " " and u[1:2] not in _NOT_PLAIN]
+    assert plain == [u for u in units if re.fullmatch(f" [^{_SPACE}]+", u)] and 0 < len(plain) < len(units)
