@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark import fixed_values as fixed
 from quillspark.operators.routing import _WORD, _routed_text, boundary_pattern
-from quillspark.session import materialise
+from quillspark.session import materialise, spread
 
 _GAP = _WORD.replace("[", "[^")
 #: Terms of more words than this are matched by pattern.
@@ -41,7 +41,9 @@ def route(papers: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
         "position", "topic", "term", F.regexp_count("term", F.lit(f"{_WORD}+")).alias("size"), plain.alias("plain")))
     simple = F.col("plain") & (F.col("size") <= MOST_WORDS)
     sizes = sorted(r["size"] for r in sized.where(simple).select("size").distinct().collect())
-    texts = papers.select(F.col(key).alias("_k"), _routed_text(F.col("title"), F.col("abstract")).alias("_text"))
+    # Dealt out first: the texts may lie in few row groups, and cutting them into n-grams is most of the work.
+    texts = spread(papers.select(F.col(key).alias("_k"), "title", "abstract"), "_k").select(
+        "_k", _routed_text(F.col("title"), F.col("abstract")).alias("_text"))
     found = None
     if sizes:
         grams = texts.select("_k", F.explode(_grams(F.col("_text"), sizes)).alias("term"))

@@ -57,6 +57,15 @@ def arrow_ready(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out by key over all shuffle partitions, ahead of work that costs far more than moving the texts.
+
+    A file's row groups bound how many tasks of a scan have rows: a table in one large row group is one task's work,
+    however many cores there are.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut points: the one the cluster names, or a throw-away one in local mode."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
