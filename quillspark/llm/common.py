@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillspark.session import materialise, ship_package
+from quillspark.session import gathered, materialise, ship_package
 
 #: White space that ends a word: \x20 and \x09-\x0D, which is also what bytes.split() splits at.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -34,13 +34,14 @@ def python_ready(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a written table, and the shuffle files behind it given up.
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` as a written table, and the shuffle files behind it given up. With ``rows``, it is written in as many tasks
+    as a table of so many rows is worth.
 
     Spark deletes a shuffle's files once the driver has collected what refers to it, which a job of a few large
     steps would hardly ever do by itself; so its disk would hold the shuffles of all steps at once.
     """
-    out = materialise(df)
+    out = materialise(df if rows is None else gathered(df, rows))
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.llm.common import Words, mixed, pieces, python_ready, same_key, stored, text_bytes
 from quillspark.llm.components import components
-from quillspark.session import materialise
+from quillspark.session import gathered, materialise
 
 SHINGLE, SEED, SIMILAR = 5, 42, 0.8
 WORDS = 4
@@ -24,8 +24,8 @@ MOST_BITS = 60
 SEGMENT_BITS, ORDERS, TURNED = 32, 3, 4
 _ORDER = np.concatenate([np.random.RandomState(i).permutation(BITS) for i in range(ORDERS)]).reshape(-1, SEGMENT_BITS)
 SEGMENTS = len(_ORDER)
-#: Segments whose variants are on disk at the same time.
-AT_ONCE = 4
+#: Segments whose variants are on disk at the same time: so many, or three times as many if there are few nodes.
+AT_ONCE, FEW_NODES = 4, 100_000
 _BLOCK = 1 << 13
 _SALTS = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) for i in range(WORDS)], np.uint64)
 _PRINT = [f"h{i}" for i in range(WORDS)]
@@ -80,10 +80,10 @@ def _add_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([p.tobytes() for p in least], pa.binary())], names=names)
 
 
-def _variants(first: int):
+def _variants(first: int, many: int):
     """fp and v for the segments from ``first`` on: the segment and its bits, with any of the least certain ones
     turned. Two prints meet if each bit in which the segment differs is among those of one of them."""
-    order = _ORDER[first:first + AT_ONCE]
+    order = _ORDER[first:first + many]
     number = np.arange(first, first + len(order), dtype=np.int64)[:, None] << SEGMENT_BITS
     chosen = (np.arange(1 << TURNED)[:, None] >> np.arange(TURNED) & 1).astype(np.int64)
 
@@ -107,7 +107,7 @@ def _variants(first: int):
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = text_bytes(batch.column(2)), text_bytes(batch.column(3))
+        left, right = text_bytes(batch.column(2)), text_bytes(batch.column(3))  # columns 0 and 1 are what is linked
         for cut in pieces([len(a) + len(b) for a, b in zip(left, right)]):
             pairs = zip(shingle_sets(left[cut]), shingle_sets(right[cut]))
             both = [(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b)) for a, b in pairs]
@@ -140,50 +140,53 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).distinct()
 
 
-def _texts_of(fps: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts_of(fps: DataFrame, nodes: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
     """(fp, text) of the nodes in ``fps`` (f), one text for each."""
     keys = fps.join(nodes.select("fp", "least"), F.col("f") == F.col("fp")).select("fp", "least")
-    return stored(docs.join(keys, same_key({"key": "least"})).select("fp", "text").dropDuplicates(["fp"]))
+    return stored(docs.join(keys, same_key({"key": "least"})).select("fp", "text").dropDuplicates(["fp"]), rows)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of nodes whose shingles have a Jaccard similarity of SIMILAR or more."""
+    """Links (a, b) between the components ra, rb of those pairs of nodes a, b whose shingles have a Jaccard similarity
+    of SIMILAR or more."""
     for side in "ab":
         own = texts.select(F.col("fp").alias(f"f{side}"), F.col("text").alias(f"t{side}"))
         pairs = pairs.join(own, F.col(side) == F.col(f"f{side}"))
-    return stored(pairs.select("a", "b", "ta", "tb").mapInArrow(_compare, "a bigint, b bigint"))
+    return pairs.select("ra", "rb", "ta", "tb").mapInArrow(_compare, "a bigint, b bigint")
 
 
-def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    reached = components(links)
-    return materialise(nodes.select("fp").join(reached, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.coalesce("root", "fp").alias("root")))
+def _joined(roots: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """(fp, root) once components are joined by links between their roots."""
+    reached = components(links).withColumnRenamed("root", "to")
+    return materialise(gathered(roots.join(reached, F.col("root") == F.col("node"), "left").select(
+        "fp", F.coalesce("to", "root").alias("root")), rows))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(nodes: DataFrame, rows: int) -> DataFrame:
     """fp, v, least, n: the members of each bucket of several nodes, its least one and their number."""
-    found = None
-    for first in range(0, SEGMENTS, AT_ONCE):
-        rows = nodes.filter("fp <> 0").select("fp", *_PRINT, "places").mapInArrow(
-            _variants(first), "fp bigint, v bigint")
-        buckets = rows.groupBy(F.col("v").alias("w")).agg(
+    found, many = None, 3 * AT_ONCE if rows <= FEW_NODES else AT_ONCE
+    for first in range(0, SEGMENTS, many):
+        variants = nodes.filter("fp <> 0").select("fp", *_PRINT, "places").mapInArrow(
+            _variants(first, many), "fp bigint, v bigint")
+        buckets = variants.groupBy(F.col("v").alias("w")).agg(
             F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        own = stored(rows.join(buckets, F.col("v") == F.col("w")).select("fp", "v", "least", "n"))
+        own = stored(variants.join(buckets, F.col("v") == F.col("w")).select("fp", "v", "least", "n"), rows)
         found = own if found is None else found.union(own)
     return found
 
 
-def _open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs of a bucket that may be links between two components. No pair leaves the join before it passed
-    _may_link, so a group of texts that are alike, but not enough, gives hardly any, however large it is."""
-    rooted = nodes.select("fp", *_COMPARED).join(roots, "fp")
-    rows = members.select("fp", "v").join(rooted.select("fp", "root").withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"))
-    apart = rows.groupBy(F.col("v").alias("w")).agg(
+def _open_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
+    """The pairs a, b of a bucket that may be links between two components, ra and rb. No pair leaves the join before it
+    passed _may_link, so a group of texts that are alike, but not enough, gives hardly any, however large it is."""
+    own = members.select(F.col("fp").alias("f"), "v").join(roots, F.col("f") == F.col("fp"))
+    apart = own.groupBy(F.col("v").alias("w")).agg(
         F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("w")
-    split = stored(rows.join(apart, F.col("v") == F.col("w")).select("fp", "v").join(rooted, "fp"))
+    rooted = nodes.select("fp", *_COMPARED).join(roots, "fp")
+    split = stored(own.join(apart, F.col("v") == F.col("w")).select("fp", "v").join(rooted, "fp"), rows)
     other = split.select(*[F.col(c).alias(f"o{c}") for c in split.columns])
     met = (F.col("v") == F.col("ov")) & (F.col("fp") < F.col("ofp")) & (F.col("root") != F.col("oroot"))
-    return split.join(other, met & _may_link("", "o")).select(F.col("fp").alias("a"), F.col("ofp").alias("b")).distinct()
+    return split.join(other, met & _may_link("", "o")).select(
+        F.col("fp").alias("a"), F.col("ofp").alias("b"), F.col("root").alias("ra"), F.col("oroot").alias("rb")).distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,19 +205,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     whole = ", ".join(f"{c} bigint" for c in _COMPARED)
     prints = materialise(docs.mapInArrow(_add_prints, f"key {kind}, fp bigint, {whole}, places binary"))
-    nodes = materialise(prints.groupBy("fp").agg(
-        F.min("key").alias("least"), *[F.min(c).alias(c) for c in _COMPARED], F.min("places").alias("places")))
-    members = candidates(nodes)
+    rows = prints.count()
+    nodes = materialise(gathered(prints.groupBy("fp").agg(
+        F.min("key").alias("least"), *[F.min(c).alias(c) for c in _COMPARED], F.min("places").alias("places")), rows))
+    members = candidates(nodes, nodes.count())
     stars = members.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
     stars = _feasible(stars, nodes)
     first = stars.groupBy("b").agg(F.min("a").alias("x"), F.min_by("a", F.struct("bits", "a")).alias("y"))
-    first = stored(first.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
-    links = _verified(first, _texts_of(_ends(first), nodes, docs))
-    roots = _roots(nodes, links)
-    rest = stored(_open_pairs(members, nodes, roots).join(first, ["a", "b"], "left_anti"))
+    first = stored(first.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), rows)
+    links = stored(_verified(first.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")),
+                             _texts_of(_ends(first), nodes, docs, rows)), rows)
+    roots = _joined(nodes.select("fp", F.col("fp").alias("root")), links, rows)
+    rest = stored(_open_pairs(members, nodes, roots, rows).join(first, ["a", "b"], "left_anti"), rows)
     if not rest.isEmpty():
-        roots = _roots(nodes, links.union(_verified(rest, _texts_of(_ends(rest), nodes, docs))))
+        links = stored(_verified(rest, _texts_of(_ends(rest), nodes, docs, rows)), rows)
+        roots = _joined(roots, links, rows)
     named = nodes.select("fp", "least").join(roots, "fp")
     ids = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    of_node = materialise(named.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"))
+    of_node = materialise(gathered(
+        named.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), rows))
     return prints.join(of_node, F.col("fp") == F.col("f")).select(F.col("key").alias(key), "component_id")

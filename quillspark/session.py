@@ -66,6 +66,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+#: Rows for each task that writes a table of known size.
+ROWS_A_TASK = 5_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many rows, in as many partitions as that is worth, two for each core at least.
+
+    Partitions of the last shuffle are put together, without another one: a few rows in each of very many partitions cost
+    a task and a file each.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for cut points: the one the cluster names, or a throw-away one in local mode."""
     root = spark.conf.get(CHECKPOINT_KEY, None)

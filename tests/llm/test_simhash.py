@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from quillspark.llm import components, simhash
+from quillspark.session import materialise
 
 
 def brute_print(text, shingle=3):
@@ -58,6 +59,32 @@ def test_a_long_path_is_one_component(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    links = spark.createDataFrame([(i % 3, i) for i in range(3, 60)] + [(3, 0)], "a int, b int")
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda df: written.append(materialise(df)) or written[-1])
+    got = {r.node: r.root for r in components.components(links).collect()}
+    assert got == {i: i % 3 for i in range(60)} and len(written) == 1
+
+
+def test_a_round_of_few_links_is_written_by_few_tasks(spark, monkeypatch):
+    """The tables of rounds lie in as many files as their rows are worth, however many partitions a shuffle has."""
+    settings = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda df: written.append(materialise(df)) or written[-1])
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(i, i + 1) for i in range(400)], "a int, b int")
+        assert {r.root for r in components.components(links).collect()} == {0}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert len(written) > 2 and max(len(t.inputFiles()) for t in written[1:]) <= most
+
+
 def test_classes_of_documents(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(5, "A b C d"), (3, "a B c D"), (9, None), (8, ""), (7, "one two"), (7, "one two"), (None, "one two"),
