@@ -136,3 +136,28 @@ def test_units_that_are_new_reach_the_encoder_once():
     units = _UNIT.findall(text)
     plain = [u for u in units if u[0] == " " and u[1:2] not in _NOT_PLAIN]
     assert plain == [u for u in units if re.fullmatch(f" [^{_SPACE}]+", u)] and 0 < len(plain) < len(units)
+
+
+def test_signs_behind_a_known_word_are_no_new_units():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTES)
+    words = ["Brown", "féte", "Łódź", "zebra's", "x\u0301y", "中文", "a1b", "ʰa", "can't"]
+    rng = random.Random(8)
+    more = ["".join(rng.choices([*"aBé中.,'!1\u0301\x01", " ", "\n", " x", "'s", "re"], k=30)) for _ in range(500)]
+    plain = [f"The {w} and {w}{s} then.\nNext {w}{s}" for w in words for s in ("", ",", ".", "!?", ")", '"')]
+    encoder = token_files.TextEncoder(library)
+    asked, encode = [], encoder.units.encode
+    encoder.units.encode = lambda new: asked.extend(new) or encode(new)
+    for own in (plain, [*plain, None], [*texts(), *more]):
+        got = encoder(pa.array(own, pa.string()), 7).to_pylist()
+        assert got == [library.encode(t or "", add_special_tokens=False).ids + [7] for t in own]
+        if own is plain:
+            assert " Brown" in asked and "," in asked and not any("Brown" in u for u in asked if u != " Brown")
+            seen = len(asked)
+    assert len(set(asked[:seen])) == seen and "Łódź" not in asked
+    assert encoder(pa.array([], pa.string()), 0).to_pylist() == []
+    encoder.encoder.runs = None  # as for a model with other rules: texts are cut at white space alone
+    got = encoder(pa.array([*plain, *more]), 7).to_pylist()
+    assert got == [library.encode(t, add_special_tokens=False).ids + [7] for t in [*plain, *more]]
