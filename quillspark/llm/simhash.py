@@ -108,6 +108,9 @@ def links(prints: DataFrame) -> DataFrame:
       - with a whole segment, two wildcards in the other one make groups that differ in those only;
     so each group is all links, and linking its members to the least joins them. No pair is left out, and
     no bucket gives more than a fixed number of rows for each member.
+
+    Spark takes the rows of an explode to be as large as what is exploded, and a written table to be as large as its
+    compressed files, so it would broadcast what no driver can hold. The joins are therefore sort-merge joins.
     """
     variants = _variants(prints)
     buckets = variants.groupBy("p", "v").agg(
@@ -116,12 +119,12 @@ def links(prints: DataFrame) -> DataFrame:
     buckets = buckets.select(F.col("p").alias("q"), F.col("v").alias("w"),
                              (F.col("n") > PAIRED_BUCKET).alias("large"))
     same_bucket = (F.col("p") == F.col("q")) & (F.col("v") == F.col("w"))
-    members = materialise(variants.join(buckets, same_bucket).select("fp", "p", "v", "on", "large"))
+    members = materialise(variants.join(buckets.hint("merge"), same_bucket).select("fp", "p", "v", "on", "large"))
     small = members.filter("NOT large").select("fp", "p", "v", "on")
     other = small.select(F.col("fp").alias("fq"), F.col("p").alias("q"), F.col("v").alias("w"),
                          F.col("on").alias("onq"))
     once = F.when(F.col("p") < BITS, ~F.col("on") & F.col("onq")).otherwise(F.col("fp") < F.col("fq"))
-    near = small.join(other, same_bucket & once).filter(
+    near = small.join(other.hint("merge"), same_bucket & once).filter(
         F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= 2).select(
         F.col("fp").alias("a"), F.col("fq").alias("b"))
     first = F.when(F.col("p") < BITS, F.col("p") < SEGMENT_BITS).otherwise(F.col("p") == BITS)
@@ -138,11 +141,11 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def _stars(groups: DataFrame) -> DataFrame:
-    """Links every other member of a group to the least."""
+    """Links every other member of a group to the least. The groups come from explodes, see links()."""
     same = ["p", "v", "j", "k", "rest"]
     least = groups.groupBy(*same).agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     least = least.select(*[F.col(c).alias(f"_{c}") for c in same], "a")
-    return groups.join(least, reduce(and_, (F.col(c) == F.col(f"_{c}") for c in same))).filter(
+    return groups.join(least.hint("merge"), reduce(and_, (F.col(c) == F.col(f"_{c}") for c in same))).filter(
         "fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
@@ -153,15 +156,15 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Equal fingerprints are one node, so copies cost one row each and no pairs. NULL keys never name a
     component unless it has no other key. Repeated rows give repeated rows. Other columns are left behind.
-    An empty table gives an empty one.
+    An empty table gives an empty one. Tables that grow with the input are not broadcast, see links().
     """
     prints = materialise(with_fingerprints(docs, key, text, shingle))
     nodes = materialise(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("least")))
     reached = components(links(nodes.select("fp")))
-    joined = nodes.join(reached, F.col("fp") == F.col("node"), "left").withColumn(
+    joined = nodes.join(reached.hint("merge"), F.col("fp") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "fp"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = materialise(joined.select(F.col("fp"), F.col("root").alias("_root")).join(
         ids, F.col("_root") == F.col("root")).select("fp", "component_id"))
-    return prints.join(of_print, F.col("fingerprint") == F.col("fp")).select(
+    return prints.join(of_print.hint("merge"), F.col("fingerprint") == F.col("fp")).select(
         key, "fingerprint", "component_id")

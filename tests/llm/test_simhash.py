@@ -52,6 +52,33 @@ def test_links_join_all_that_two_bits_join(spark, monkeypatch, paired):
     assert {v: got.get(v, v) for v in values} == brute_roots(values)
 
 
+@pytest.mark.parametrize("paired", [1, 64])
+def test_links_broadcast_nothing(spark, monkeypatch, paired):
+    """The rows of an explode count as few as what is exploded, so a broadcast of them can end the driver."""
+    monkeypatch.setattr(simhash, "PAIRED_BUCKET", paired)
+    plans = []
+
+    def ran(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(simhash, "materialise", lambda df: ran(df) and materialise(df))
+    table = materialise(spark.createDataFrame([(v << 32 | v,) for v in range(300)], "fp bigint"))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 10_000_000
+    found = ran(simhash.links(table))
+    assert {(r.a, r.b) for r in found} >= {(0, 1 << 32 | 1), (0, 2 << 32 | 2)}
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
+def test_classes_broadcast_no_table_of_all_rows(spark):
+    table = spark.createDataFrame([(k, f"w{k % 50} one two three") for k in range(100)], "doc_id bigint, text string")
+    got = simhash.near_classes(table)
+    assert sorted(r.component_id for r in got.collect()) == sorted(k % 50 for k in range(100))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_a_long_path_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(7, 7), (None, 3), (500, 400)], "a int, b int")
     got = {r.node: r.root for r in components.components(links).collect()}
